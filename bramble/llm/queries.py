@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm import chat, url_filter
-from bramble.llm.common import table
+from bramble.llm import chat, exact_dedup, quality, url_filter
+from bramble.llm.common import bounded_batches, table
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -77,8 +77,41 @@ SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.host = m.host AND p.path = m.path
 """
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents."""
+    return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Learned from the labels outside the held-out fold."""
+    learn = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
+    return quality.fit(docs, labels.select("doc_id", "quality").filter(learn))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; one label in five is held out."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_url_filter": op8_url_filter,
+    "op9_quality_classifier": op9_quality_classifier,
 }
-SQL: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL}
