@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm import chat, exact_dedup, quality, url_filter
+from bramble.llm import bpe, chat, exact_dedup, quality, token_files, url_filter, warc
 from bramble.llm.common import bounded_batches, table
 
 URL_RULES = (
@@ -20,6 +20,50 @@ URL_RULES = (
 TRICKY_CHAT = r"\### Assistant: </turn> ok"
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives every page and reads the archives back."""
+    bounded_batches(spark)
+    index = warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+g AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes, record_type, CASE WHEN record_type = 'revisit' THEN first END AS refers_to,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INTEGER), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest
+FROM (SELECT *, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type FROM g)
+"""
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every document and decodes the ids again."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, tokenizer_path(), decoded="decoded", keep=["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every document to token files and reads them back."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read(token_files.write(docs, tokenizer_path(), end_id=2))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats every conversation, reads it back and returns digests of turns and loss text."""
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY_CHAT), (-7, 1, "assistant", TRICKY_CHAT)], "conv_id bigint, turn bigint, role string, text string")
@@ -109,9 +153,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_bpe": op3_bpe,
     "op6_chat_format": op6_chat_format,
+    "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
 }
-SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL}
