@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm import bpe, chat, exact_dedup, quality, token_files, url_filter, warc
+from bramble.llm import bpe, chat, decontam, exact_dedup, quality, token_files, url_filter, warc
 from bramble.llm.common import bounded_batches, table
 
 URL_RULES = (
@@ -152,6 +152,28 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a window with a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("best_match").cast("bigint").alias("best_match"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark),
+dw AS (SELECT doc_id, s, list_slice(t, s, s + 11) AS w FROM (SELECT doc_id, t, unnest(range(1, len(t) - 10)) AS s FROM d WHERE len(t) >= 12)),
+bw AS (SELECT item_id, list_slice(t, s, s + 11) AS w FROM (SELECT item_id, t, unnest(range(1, len(t) - 10)) AS s FROM b WHERE len(t) >= 12)),
+dk AS (SELECT *, 1 AS m, list_slice(w, 5, 12) AS k FROM dw UNION ALL SELECT *, 2, list_concat(list_slice(w, 1, 4), list_slice(w, 9, 12)) FROM dw
+       UNION ALL SELECT *, 3, list_slice(w, 1, 8) FROM dw),
+bk AS (SELECT *, 1 AS m, list_slice(w, 5, 12) AS k FROM bw UNION ALL SELECT *, 2, list_concat(list_slice(w, 1, 4), list_slice(w, 9, 12)) FROM bw
+       UNION ALL SELECT *, 3, list_slice(w, 1, 8) FROM bw),
+hit AS (SELECT doc_id, item_id, s, len(list_filter(range(1, 13), lambda i: dk.w[i] = bk.w[i])) AS match
+        FROM dk JOIN bk ON dk.m = bk.m AND dk.k = bk.k)
+SELECT doc_id, item_id, count(DISTINCT s) AS n_windows, max(match) AS best_match FROM hit WHERE match >= 10 GROUP BY doc_id, item_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
@@ -160,5 +182,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_decontamination": OP10_SQL}
