@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm import bpe, chat, decontam, exact_dedup, quality, token_files, url_filter, warc
+from bramble.llm import bpe, chat, decontam, exact_dedup, minhash, quality, token_files, url_filter, warc
 from bramble.llm.common import bounded_batches, table
 
 URL_RULES = (
@@ -64,6 +64,30 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(docs, tokenizer_path(), end_id=2))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 of 100 three-word shingles."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, minhash.Params(words=3, percent=85))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ 	-]+'), lambda x: x <> '') AS t FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(t, i, i + 2), ' ') AS s
+       FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 1, 2))) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats every conversation, reads it back and returns digests of turns and loss text."""
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY_CHAT), (-7, 1, "assistant", TRICKY_CHAT)], "conv_id bigint, turn bigint, role string, text string")
@@ -178,10 +202,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
+    "op4_minhash": op4_minhash,
     "op6_chat_format": op6_chat_format,
     "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_decontamination": OP10_SQL}
+SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_minhash": OP4_SQL, "op6_chat_format": OP6_SQL, "op8_url_filter": OP8_SQL, "op10_decontamination": OP10_SQL}
