@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm import bpe, chat, decontam, exact_dedup, minhash, quality, token_files, url_filter, warc
+from bramble.llm import bpe, chat, decontam, exact_dedup, minhash, quality, suffix_tree, token_files, url_filter, warc
 from bramble.llm.common import bounded_batches, table
 
 URL_RULES = (
@@ -74,7 +74,8 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[ 	-]+'), lambda x: x <> '') AS t FROM documents),
+    '[ 	-
+]+'), lambda x: x <> '') AS t FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(t, i, i + 2), ' ') AS s
        FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 1, 2))) AS i FROM w WHERE len(t) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
@@ -88,6 +89,15 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; one in seven is held out of the training."""
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = suffix_tree.score(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats every conversation, reads it back and returns digests of turns and loss text."""
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY_CHAT), (-7, 1, "assistant", TRICKY_CHAT)], "conv_id bigint, turn bigint, role string, text string")
@@ -203,6 +213,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
+    "op5_suffix_tree": op5_suffix_tree,
     "op6_chat_format": op6_chat_format,
     "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
