@@ -1 +1 @@
-
+"""Registered queries, analysis drivers, configuration and command line."""

@@ -1 +1 @@
-
+"""Graph sources: edge lists, tables, catalog, generators; and stored tables."""
