@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bramble.operators import charts, clean, density, exact, peel, stats, verify
 from bramble.plans import api, tables
 from bramble.sources import generators, graph
+from bramble.sources.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,7 +226,7 @@ SELECT g AS graph_id, 5::BIGINT AS k, any_value(dk) AS dk, any_value(step) AS st
 FROM hd JOIN f USING (g) GROUP BY g""")
 def witness_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.trade(spark, sf_dir)
-    return density.witness_report(g, peel.peel_trace(g), 5)
+    return density.witness_report(g, stored(peel.peel_trace(g), "trace"), 5)
 
 
 @_query(f"""{_TRADE_PEEL}, c AS (SELECT g, step, CAST(ceil(2.0 * m / n) AS BIGINT) AS q FROM tr WHERE n >= 5), b AS (SELECT g, min(step) AS first_step FROM c WHERE q = (SELECT max(q) FROM c) GROUP BY g)
@@ -243,7 +244,7 @@ def tail_order_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT g AS graph_id, n, m, 2.0::DOUBLE * m / (n * (n - 1)) AS density, dk_density AS d0, CAST(ceil(dk_density / 2.0) AS BIGINT) AS half_density_ceiling FROM n JOIN m USING (g) JOIN dk USING (g) WHERE k = 0""")
 def analyze_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.trade(spark, sf_dir)
-    return density.analyze(g, peel.peel_trace(g))
+    return density.analyze(g, stored(peel.peel_trace(g), "trace"))
 
 
 @_query(f"{_REGION_ALL} SELECT g AS graph_id, k, alpha_exact FROM ax")
@@ -359,7 +360,7 @@ def k_range_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- chart data -------------------------------------------------------------------------------------------------------
 @_query(f"{_TRADE_PEEL}, {_DK}, {_REMOVAL} SELECT dk.g AS graph_id, dk.k, dk_tail_degree AS dk, alpha_removal AS alpha, dk_tail_degree AS band_lo, 2 * dk_tail_degree AS band_hi FROM dk LEFT JOIN al ON al.g = dk.g AND al.k = dk.k")
 def chart_alpha_dk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trace = peel.peel_trace(tables.trade(spark, sf_dir))
+    trace = stored(peel.peel_trace(tables.trade(spark, sf_dir)), "trace")
     return charts.alpha_lines(density.dk_all(trace), density.alpha_removal(trace))
 
 

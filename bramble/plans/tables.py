@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bramble.sources.graph import Graph, canonical, from_labels
+from bramble.sources.store import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _with_ends(edges: DataFrame) -> Graph:
+    """The edges are stored: both ends, degrees and the peel read them, the tables behind only once."""
+    edges = stored(edges, "edges")
     ends = edges.select("graph_id", F.col("src").alias("vid")).union(edges.select("graph_id", "dst")).distinct()
     return Graph(ends.withColumn("label", F.col("vid").cast("string")), edges)
 
@@ -48,4 +51,4 @@ def links(spark: SparkSession, sf_dir: str) -> Graph:
     """Pages and the targets of their href attributes, numbered in the order of labels."""
     hrefs = _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
     pairs = hrefs.select(F.lit("links").alias("graph_id"), F.concat(F.lit("p:"), "page_id").alias("a"), F.concat(F.lit("h:"), "href").alias("b")).distinct()
-    return from_labels(pairs)
+    return from_labels(stored(pairs, "pairs"))

@@ -170,8 +170,7 @@ def read_graph(spark: SparkSession, name: str, cache_dir: str = "graph_cache", l
     if name not in names:
         raise ValueError(f"unknown dataset {name!r}; known are: {', '.join(names)}")
     path = f"{cache_dir.rstrip('/')}/{name}.txt.gz"
-    jvm, where = spark.sparkContext._jvm, None
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         raise FileNotFoundError(f"{path} is missing; fetch the dataset's url of the catalog into it")
     g = read_edge_list(spark, path, name)
