@@ -8,9 +8,10 @@
 3. In a bucket only star edges are made: its smallest id with each other member. Links
    are confirmed on the full sets and contracted into components.
 4. Stars could miss links between two other members. So while a bucket still joins several
-   components, further members outside its largest component become hubs, more in each
-   round, and meet the members of other components; a hub that had its turn leaves the
-   bucket. At the end every two members of a bucket were compared or are connected.
+   components, its members outside the largest one first meet a few more of that; then they
+   become hubs themselves, more in each round, and meet all members of other components,
+   sketches of the signatures first; a hub that had its turn leaves the bucket. At the end
+   every two members of a bucket were compared or are connected.
 
 Hot buckets and classes are pre-aggregated or met by joins whose large partitions Spark
 splits; no group is gathered.
@@ -23,6 +24,8 @@ Defined results
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,9 +39,11 @@ from bramble.llm.common import materialize
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MISS = 1e-8
-_BINS = 160
+_MAX_BINS, _SKETCH_BINS = 512, 256
 _KEPT_WORDS = 400_000
-_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
+#: Members of the largest component, per bucket, that the others meet in the first rounds.
+_JOINING = (1, 4, 16)
+_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
 @dataclass(frozen=True)
@@ -50,13 +55,27 @@ class Params:
 
     @property
     def rows(self) -> int:
-        """Most rows per band for which a pair at the threshold is missed with at most _MISS."""
-        t = self.percent / 100
-        return max([r for r in range(1, 11) if (1 - t**r) ** (_BINS // r) <= _MISS], default=1)
+        """Most rows per band that leave room for enough bands: long bands keep texts apart that only share a passage."""
+        return max([r for r in range(1, 17) if r * self._bands(r) <= _MAX_BINS], default=1)
 
     @property
     def bands(self) -> int:
-        return _BINS // self.rows
+        return self._bands(self.rows)
+
+    def _bands(self, rows: int) -> int:
+        """Bands for which a pair at the threshold shares none with a probability of at most _MISS."""
+        hit = min(self.percent / 100, 1 - 1e-9) ** rows
+        return max(1, math.ceil(math.log(_MISS) / math.log1p(-hit)))
+
+    @property
+    def mismatches(self) -> int:
+        """Differing places in the sketches of a pair at the threshold, exceeded with a probability of at most _MISS / 10."""
+        p, n, tail = 0.75 * (1 - self.percent / 100), _SKETCH_BINS, 0.0
+        for m in range(n, -1, -1):
+            tail += math.comb(n, m) * p**m * (1 - p) ** (n - m)
+            if tail > _MISS / 10:
+                return m
+        return 0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,13 +91,11 @@ class _Words(dict):
 
 
 _words = _Words()
-def _tries(block: int) -> np.ndarray:
-    """For each empty bin the bins it tries, one row for each of 64 attempts."""
-    at = np.arange(64 * _BINS, dtype=np.uint64) + np.uint64(64 * _BINS * block + 1)
-    return (_mix(at * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(_BINS)).astype(np.int64).reshape(64, _BINS)
-
-
-_first_tries = _tries(0)
+@functools.cache
+def _tries(bins: int, block: int) -> np.ndarray:
+    """For each empty bin the bins it tries, one row for each of 32 attempts."""
+    at = np.arange(32 * bins, dtype=np.uint64) + np.uint64(32 * bins * block + 1)
+    return (_mix(at * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bins)).astype(np.int64).reshape(32, bins)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -97,29 +114,33 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, n_bins: int) -> np.ndarray:
     """Bin values of a non-empty set given as sorted hashes."""
-    bins = ((hashes >> np.uint64(32)) * np.uint64(_BINS)) >> np.uint64(32)
+    bins = ((hashes >> np.uint64(32)) * np.uint64(n_bins)) >> np.uint64(32)
     first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
-    out = np.zeros(_BINS, dtype=np.uint64)
-    full = np.zeros(_BINS, dtype=bool)
+    out = np.zeros(n_bins, dtype=np.uint64)
+    full = np.zeros(n_bins, dtype=bool)
     filled = bins[first].astype(np.int64)
     out[filled], full[filled] = hashes[first], True
-    empty = np.flatnonzero(~full)
-    tries, block = _first_tries, 0
+    empty, block = np.flatnonzero(~full), 0
     while len(empty):
-        hit = full[tries[:, empty]]
+        tries = _tries(n_bins, block)[:, empty]
+        hit = full[tries]
         some = hit.any(axis=0)
-        lender = tries[hit.argmax(axis=0), empty]
+        lender = tries[hit.argmax(axis=0), np.arange(len(empty))]
         out[empty[some]] = out[lender[some]]
-        empty = empty[~some]
-        block += 1
-        tries = _tries(block) if len(empty) else tries
+        empty, block = empty[~some], block + 1
     return out
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each of _SKETCH_BINS places of the signature: first all low bits, then the others, as longs."""
+    use = np.resize(sig, _SKETCH_BINS)
+    return np.concatenate([np.packbits((use >> np.uint64(i) & np.uint64(1)).astype(np.uint8)) for i in (0, 1)]).view(np.int64)
+
+
 def band_hashes(sig: np.ndarray, p: Params) -> np.ndarray:
-    rows = sig[: p.bands * p.rows].reshape(p.bands, p.rows)
+    rows = sig.reshape(p.bands, p.rows)
     out = np.arange(1, p.bands + 1, dtype=np.uint64)
     for i in range(p.rows):
         out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
@@ -136,14 +157,16 @@ def signatures(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
         none = np.empty(0, dtype=np.int64)
         for b in batches:
             sets = [shingles(t, p.words) for t in b.column("text").to_pylist()]
+            sigs = [signature(s, p.bands * p.rows) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    _lists([band_hashes(signature(s), p) if len(s) else none for s in sets], np.int64),
+                    _lists([none if s is None else band_hashes(s, p) for s in sigs], np.int64),
+                    _lists([none if s is None else sketch(s) for s in sigs], np.int64),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, _SIGNATURE)
@@ -190,43 +213,62 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def _pairs(hubs: DataFrame, members: DataFrame, p: Params, on: str = "bucket") -> DataFrame:
-    """Star edges as ordered pairs, without those whose sizes alone rule a link out."""
-    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
-    return members.join(hubs, on).filter((F.col("id") != F.col("hub")) & near)
+def _may_link(p: Params):
+    """What a link needs by sizes alone."""
+    return F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
+
+
+def _differ():
+    """Differing places of two sketches."""
+    half = _SKETCH_BINS // 64
+    a, b = (lambda i: F.get("sketch", F.lit(i))), (lambda i: F.get("hub_sketch", F.lit(i)))
+    return sum((F.bit_count((a(i).bitwiseXOR(b(i))).bitwiseOR(a(i + half).bitwiseXOR(b(i + half)))) for i in range(1, half)), F.bit_count(a(0).bitwiseXOR(b(0)).bitwiseOR(a(half).bitwiseXOR(b(half)))))
 
 
 def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, p: Params, text: str = "text") -> DataFrame:
     """Confirmed links between classes, enough to connect what is connected."""
     heads = signed.join(classes, [signed["digest"] == classes["class_digest"], signed["doc_id"] == classes["class_id"]])
-    heads = heads.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    hubs = heads.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).filter(F.col("last") != F.col("hub.id"))
-    members = materialize(heads.join(hubs, "bucket").select("bucket", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    buckets = heads.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).filter(F.col("last") != F.col("hub.id"))
+    members = materialize(buckets.join(hubs, "bucket").select("bucket", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     inside = members.select(F.col("id").alias("doc_id")).distinct()
     sets = materialize(shingle_sets(docs.join(inside.hint("shuffle_hash"), "doc_id", "left_semi"), p, text), "sets")
 
-    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
-    star = members.filter((F.col("id") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.filter((F.col("id") != F.col("hub")) & _may_link(p)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     found = materialize(_confirm(star, sets, p), "links")
     rest = members.filter("id <> hub").select("bucket", "id", "n")
-    per_bucket = 4
+    sketches: DataFrame | None = None
+    rounds, per_bucket = 0, 16
     while True:
         comps = components(found).select("id", "component")
         placed = rest.join(comps, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
         parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-        rest = materialize(placed.join(largest.select("bucket", F.col("top.component").alias("top")), "bucket"), "rest")
+        largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size")).filter("size > top.size")
+        rest = materialize(placed.join(largest.select("bucket", F.col("top.component").alias("top"), (F.col("size") - F.col("top.size")).alias("others")), "bucket"), "rest")
         if rest.isEmpty():
             return found
-        slot = F.pmod(F.xxhash64("id"), F.lit(per_bucket))
-        hubs = rest.filter("component <> top").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("h"))
-        hubs = hubs.select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component"))
-        hubs = materialize(hubs, "hubs")
-        star = _pairs(hubs, rest, p).filter("component <> hub_component").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        if sketches is None:
+            left = rest.select("id").distinct()
+            sketches = heads.select(F.col("class_id").alias("id"), "sketch").dropDuplicates(["id"])
+            sketches = materialize(sketches.join(left, "id", "left_semi"), "sketches")
+        seen = rest.join(sketches, "id")
+        if rounds < len(_JOINING):
+            # First the members outside meet a few of the largest component, which most of them join.
+            slot, chosen = F.pmod(F.xxhash64("id", F.lit(rounds)), F.lit(_JOINING[rounds])), "component = top"
+            seen = seen.filter("component <> top")
+        else:
+            # Then all members outside, where they are few, else one for each of some slots, meet all others.
+            slot, chosen = F.when(F.col("others") <= per_bucket, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(per_bucket))), "component <> top"
+        hubs = rest.filter(chosen).groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("h"))
+        hubs = materialize(hubs.select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component")), "hubs")
+        met = seen.join(hubs.join(sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"), "bucket")
+        star = met.filter((F.col("component") != F.col("hub_component")) & _may_link(p) & (_differ() <= p.mismatches)).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         found = materialize(found.union(_confirm(star, sets, p)), "links")
-        done = hubs.select("bucket", F.col("hub").alias("id"))
-        rest = rest.select("bucket", "id", "n").join(done, ["bucket", "id"], "left_anti")
-        per_bucket *= 4
+        rest = rest.select("bucket", "id", "n")
+        if rounds >= len(_JOINING):
+            rest = rest.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
+            per_bucket *= 8
+        rounds += 1
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
