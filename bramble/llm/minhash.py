@@ -5,13 +5,14 @@
    same full set (compared by a 128-bit digest) form a class; only its smallest id goes on.
 2. Bands of the signature are buckets. A pair at the threshold shares some bucket with a
    probability of at least 1 - 1e-8.
-3. In a bucket only star edges are made: its smallest id with each other member. Links
-   are confirmed on the full sets and contracted into components.
-4. Stars could miss links between two other members. So while a bucket still joins several
-   components, its members outside the largest one first meet a few more of that; then they
-   become hubs themselves, more in each round, and meet all members of other components,
-   sketches of the signatures first; a hub that had its turn leaves the bucket. At the end
-   every two members of a bucket were compared or are connected.
+3. In a bucket only star edges are made: its most central member with each other member.
+   Links are confirmed on the full sets and contracted into components.
+4. Stars could miss links between two other members. So while a bucket joins several
+   components, its members are compared by what they differ in from their common hub: a link
+   that leaves a component shares some of the first of these elements, in one order for all
+   (the bound is in _prefixes). Only pairs that meet there, and could still share enough by the
+   places where they met, are confirmed. No link of a bucket is lost, and the pairs of a
+   group are not enumerated.
 
 Hot buckets and classes are pre-aggregated or met by joins whose large partitions Spark
 splits; no group is gathered.
@@ -39,11 +40,9 @@ from bramble.llm.common import materialize
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MISS = 1e-8
-_MAX_BINS, _SKETCH_BINS = 512, 256
+_MAX_BINS = 512
 _KEPT_WORDS = 400_000
-#: Members of the largest component, per bucket, that the others meet in the first rounds.
-_JOINING = (1, 4, 16)
-_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
 @dataclass(frozen=True)
@@ -67,16 +66,6 @@ class Params:
         hit = min(self.percent / 100, 1 - 1e-9) ** rows
         return max(1, math.ceil(math.log(_MISS) / math.log1p(-hit)))
 
-    @property
-    def mismatches(self) -> int:
-        """Differing places in the sketches of a pair at the threshold, exceeded with a probability of at most _MISS / 10."""
-        p, n, tail = 0.75 * (1 - self.percent / 100), _SKETCH_BINS, 0.0
-        for m in range(n, -1, -1):
-            tail += math.comb(n, m) * p**m * (1 - p) ** (n - m)
-            if tail > _MISS / 10:
-                return m
-        return 0
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -133,12 +122,6 @@ def signature(hashes: np.ndarray, n_bins: int) -> np.ndarray:
     return out
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """Two bits of each of _SKETCH_BINS places of the signature: first all low bits, then the others, as longs."""
-    use = np.resize(sig, _SKETCH_BINS)
-    return np.concatenate([np.packbits((use >> np.uint64(i) & np.uint64(1)).astype(np.uint8)) for i in (0, 1)]).view(np.int64)
-
-
 def band_hashes(sig: np.ndarray, p: Params) -> np.ndarray:
     rows = sig.reshape(p.bands, p.rows)
     out = np.arange(1, p.bands + 1, dtype=np.uint64)
@@ -164,9 +147,8 @@ def signatures(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     _lists([none if s is None else band_hashes(s, p) for s in sigs], np.int64),
-                    _lists([none if s is None else sketch(s) for s in sigs], np.int64),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                names=["doc_id", "n_shingles", "digest", "bands"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, _SIGNATURE)
@@ -213,62 +195,88 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def _may_link(p: Params):
-    """What a link needs by sizes alone."""
-    return F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
-
-
-def _differ():
-    """Differing places of two sketches."""
-    half = _SKETCH_BINS // 64
-    a, b = (lambda i: F.get("sketch", F.lit(i))), (lambda i: F.get("hub_sketch", F.lit(i)))
-    return sum((F.bit_count((a(i).bitwiseXOR(b(i))).bitwiseOR(a(i + half).bitwiseXOR(b(i + half)))) for i in range(1, half)), F.bit_count(a(0).bitwiseXOR(b(0)).bitwiseOR(a(half).bitwiseXOR(b(half)))))
+def _hubs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, hub) of all buckets, and (hub, top): the hub of all buckets that a hub is in.
+
+    A hub is the most central member, the one with the most places in common with others (the
+    sizes of its buckets summed), so that most of a group of copies links to few hubs. A hub is a
+    struct (central, minus, id, n).
+    """
+    central = rows.groupBy("id").agg(F.sum("size").alias("central"))
+    central = rows.join(central, "id").select("bucket", "id", F.struct("central", (-F.col("id")).alias("minus"), "id", "n").alias("own"))
+    hubs = materialize(central.groupBy("bucket").agg(F.max("own").alias("hub")), "hubs")
+    chosen = hubs.select(F.col("hub.id").alias("id")).distinct()
+    tops = rows.join(chosen, "id").join(hubs, "bucket").groupBy("id").agg(F.max("hub").alias("top")).filter("id <> top.id")
+    return hubs, materialize(tops, "tops")
+
+
+def _prefixes(cells: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The elements by which a member differs from its hub, as far as a link across components must share one of them.
+
+    c shared elements of two differences of a and b elements leave a + b - 2 c between the texts,
+    so a link needs 2 q c >= q (a + b) - r (n + n'), with q = 100 + percent and r = 100 - percent.
+    All differences are in one order (what the hub lacks, then what the member lacks, by hash);
+    two that share c elements share one among the first a - c + 1 and b - c + 1 of them.
+    ``near`` is that length beside any member that is not linked to the hub, ``far`` beside any
+    member, for one that is not linked itself. Two that are both linked to the hub need no test.
+    """
+    q, r = 100 + p.percent, 100 - p.percent
+    left = sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("hub_set"))
+    right = sets.select(F.col("doc_id").alias("id"), F.col("hashes").alias("own_set"))
+    both = cells.join(right, "id").join(left, "hub")
+    both = both.select("hub", "id", "n", "hub_n", "component", F.concat(F.array_except("own_set", "hub_set"), F.array_except("hub_set", "own_set")).alias("differ"))
+    both = both.withColumn("d", F.size("differ").cast("long")).withColumn("linked", F.expr(f"{q} * d <= {r} * (n + hub_n)"))
+    both = both.withColumn("near", F.expr(f"d - ({q} * d + {r} * (hub_n - n)) div {2 * q}"))
+    both = both.withColumn("far", F.expr(f"CASE WHEN linked THEN near ELSE greatest(near, d - ({q} * d - {r} * (n + hub_n) + {2 * q - 1}) div {2 * q} + 1) END"))
+    kept = ["hub", "id", "n", "component", "d", "linked", "near"]
+    return both.select(*kept, F.posexplode(F.slice("differ", F.lit(1), F.col("far").cast("int"))).alias("place", "element"))
+
+
+def _across(rows: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) across components that may be links, from the rows of _prefixes."""
+    q, r = 100 + p.percent, 100 - p.percent
+    mixed = rows.groupBy("hub", "element").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("linked").alias("all_linked"))
+    rows = materialize(rows.join(mixed.filter("low < high AND NOT all_linked").select("hub", "element"), ["hub", "element"], "left_semi"), "shared")
+    x = rows.filter("NOT linked").alias("x")
+    y = rows.filter("place < near").alias("y")
+    met = x.join(
+        y,
+        F.expr(
+            f"""x.hub = y.hub AND x.element = y.element AND x.component <> y.component
+            AND (y.linked OR (x.id < y.id AND x.place < x.near))
+            AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {p.percent}
+            AND {2 * q} * least(x.d - x.place, y.d - y.place) >= {q} * (x.d + y.d) - {r} * (x.n + y.n)"""
+        ),
+    )
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, p: Params, text: str = "text") -> DataFrame:
     """Confirmed links between classes, enough to connect what is connected."""
     heads = signed.join(classes, [signed["digest"] == classes["class_digest"], signed["doc_id"] == classes["class_id"]])
-    buckets = heads.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).filter(F.col("last") != F.col("hub.id"))
-    members = materialize(buckets.join(hubs, "bucket").select("bucket", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    inside = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(shingle_sets(docs.join(inside.hint("shuffle_hash"), "doc_id", "left_semi"), p, text), "sets")
-
-    star = members.filter((F.col("id") != F.col("hub")) & _may_link(p)).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    rows = heads.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    rows = materialize(rows.join(sizes.select("bucket", "size"), "bucket"), "buckets")
+    inside = rows.select(F.col("id").alias("doc_id")).distinct()
+    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sets = materialize(shingle_sets(once.join(inside.hint("shuffle_hash"), "doc_id", "left_semi"), p), "sets")
+
+    hubs, tops = _hubs(rows)
+    # A hub that links to a more central one leaves its bucket to that: fewer hubs for a member of many buckets.
+    moved = materialize(_confirm(tops.select(F.col("top.id").alias("a"), F.col("id").alias("b")), sets, p), "moved")
+    moved = tops.join(moved.select(F.col("b").alias("id")), "id", "left_semi").select(F.col("id").alias("from"), "top")
+    hubs = hubs.join(moved, F.col("hub.id") == F.col("from"), "left").select("bucket", F.coalesce("top", "hub").alias("hub"))
+    others = rows.join(hubs, "bucket").select("bucket", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")).filter("id <> hub")
+    others = materialize(others, "members")
+    may_link = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
+    star = others.filter(may_link).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     found = materialize(_confirm(star, sets, p), "links")
-    rest = members.filter("id <> hub").select("bucket", "id", "n")
-    sketches: DataFrame | None = None
-    rounds, per_bucket = 0, 16
-    while True:
-        comps = components(found).select("id", "component")
-        placed = rest.join(comps, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size")).filter("size > top.size")
-        rest = materialize(placed.join(largest.select("bucket", F.col("top.component").alias("top"), (F.col("size") - F.col("top.size")).alias("others")), "bucket"), "rest")
-        if rest.isEmpty():
-            return found
-        if sketches is None:
-            left = rest.select("id").distinct()
-            sketches = heads.select(F.col("class_id").alias("id"), "sketch").dropDuplicates(["id"])
-            sketches = materialize(sketches.join(left, "id", "left_semi"), "sketches")
-        seen = rest.join(sketches, "id")
-        if rounds < len(_JOINING):
-            # First the members outside meet a few of the largest component, which most of them join.
-            slot, chosen = F.pmod(F.xxhash64("id", F.lit(rounds)), F.lit(_JOINING[rounds])), "component = top"
-            seen = seen.filter("component <> top")
-        else:
-            # Then all members outside, where they are few, else one for each of some slots, meet all others.
-            slot, chosen = F.when(F.col("others") <= per_bucket, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(per_bucket))), "component <> top"
-        hubs = rest.filter(chosen).groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "n", "component")).alias("h"))
-        hubs = materialize(hubs.select("bucket", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.component").alias("hub_component")), "hubs")
-        met = seen.join(hubs.join(sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"), "bucket")
-        star = met.filter((F.col("component") != F.col("hub_component")) & _may_link(p) & (_differ() <= p.mismatches)).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        found = materialize(found.union(_confirm(star, sets, p)), "links")
-        rest = rest.select("bucket", "id", "n")
-        if rounds >= len(_JOINING):
-            rest = rest.join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
-            per_bucket *= 8
-        rounds += 1
+    comps = components(found).select("id", "component")
+    placed = others.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    cells = placed.join(split.select("bucket"), "bucket", "left_semi").select("hub", "id", "n", "hub_n", "component").distinct()
+    rows = materialize(_prefixes(cells, sets, p), "prefixes")
+    return materialize(found.union(_confirm(_across(rows, p), sets, p)), "links")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:

@@ -227,6 +227,24 @@ def test_near_duplicates_against_brute_force(spark, seed, p):
     assert got == brute_near(rows, p)
 
 
+def test_near_duplicates_around_the_threshold(spark):
+    """Copies of one text with so many edits that about half of all pairs are links."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [rng.choice(words) for _ in range(100)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for _ in range(rng.randrange(10)):
+            at, kind = rng.randrange(len(text)), rng.random()
+            text[at : at + (kind < 0.7)] = [] if kind < 0.2 else [rng.choice(words)]
+        rows.append((i, " ".join(text)))
+    for p in (minhash.Params(3, 85), minhash.Params(5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, rows), p).collect()}
+        assert got == brute_near(rows, p)
+        assert 3 < len({r[1] for r in got.values()}) < 250
+
+
 def test_near_duplicates_edges(spark):
     got = sorted(map(tuple, minhash.near_duplicates(docs(spark, ODD)).collect()), key=str)
     assert [r for r in got if r[0] is None] == [(None, 0, None, True), (None, 1, None, True)]
