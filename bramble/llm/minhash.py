@@ -11,7 +11,7 @@
    components, its members are compared by what they differ in from their common hub: a link
    that leaves a component shares some of the first of these elements, in one order for all
    (the bound is in _prefixes). Only pairs that meet there, and could still share enough by the
-   places where they met, are confirmed. No link of a bucket is lost, and the pairs of a
+   places where they met and by a bitmap of each, are confirmed. No link of a bucket is lost, and the pairs of a
    group are not enumerated.
 
 Hot buckets and classes are pre-aggregated or met by joins whose large partitions Spark
@@ -219,6 +219,8 @@ def _prefixes(cells: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     two that share c elements share one among the first a - c + 1 and b - c + 1 of them.
     ``near`` is that length beside any member that is not linked to the hub, ``far`` beside any
     member, for one that is not linked itself. Two that are both linked to the hub need no test.
+    ``bits0`` to ``bits3`` are a bit for each difference: two texts differ in at least as many
+    elements as these bits do.
     """
     q, r = 100 + p.percent, 100 - p.percent
     left = sets.select(F.col("doc_id").alias("hub"), F.col("hashes").alias("hub_set"))
@@ -229,7 +231,8 @@ def _prefixes(cells: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     both = both.withColumn("near", F.expr(f"d - ({q} * d + {r} * (hub_n - n)) div {2 * q}"))
     both = both.withColumn("far", F.expr(f"CASE WHEN linked THEN near ELSE greatest(near, d - ({q} * d - {r} * (n + hub_n) + {2 * q - 1}) div {2 * q} + 1) END"))
     kept = ["hub", "id", "n", "component", "d", "linked", "near"]
-    return both.select(*kept, F.posexplode(F.slice("differ", F.lit(1), F.col("far").cast("int"))).alias("place", "element"))
+    bits = [F.expr(f"aggregate(differ, 0L, (m, e) -> IF((shiftrightunsigned(e, 6) & 3L) = {k}, m | shiftleft(1L, CAST(e & 63L AS INT)), m))").alias(f"bits{k}") for k in range(4)]
+    return both.select(*kept, *bits, F.posexplode(F.slice("differ", F.lit(1), F.col("far").cast("int"))).alias("place", "element"))
 
 
 def _across(rows: DataFrame, p: Params) -> DataFrame:
@@ -239,13 +242,15 @@ def _across(rows: DataFrame, p: Params) -> DataFrame:
     rows = materialize(rows.join(mixed.filter("low < high AND NOT all_linked").select("hub", "element"), ["hub", "element"], "left_semi"), "shared")
     x = rows.filter("NOT linked").alias("x")
     y = rows.filter("place < near").alias("y")
+    apart = " + ".join(f"bit_count(x.bits{k} ^ y.bits{k})" for k in range(4))
     met = x.join(
         y,
         F.expr(
             f"""x.hub = y.hub AND x.element = y.element AND x.component <> y.component
             AND (y.linked OR (x.id < y.id AND x.place < x.near))
             AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {p.percent}
-            AND {2 * q} * least(x.d - x.place, y.d - y.place) >= {q} * (x.d + y.d) - {r} * (x.n + y.n)"""
+            AND {2 * q} * least(x.d - x.place, y.d - y.place) >= {q} * (x.d + y.d) - {r} * (x.n + y.n)
+            AND {q} * ({apart}) <= {r} * (x.n + y.n)"""
         ),
     )
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
