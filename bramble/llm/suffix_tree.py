@@ -1,22 +1,23 @@
 """Language-model scores from a probabilistic suffix tree over word symbols.
 
 Words are whitespace-separated after lower-casing A-Z; a text is its words and one end
-token. A frequent word (and the end) is a symbol of its own; other words share the symbol
-of their last two bytes, or of all the rest. A state of the tree is a suffix of the
-symbols before a token. A context is a candidate from an empirical probability on, as in
-the original algorithm, and kept if its next-symbol distribution diverges enough from that
-of its longest kept suffix; each distribution is smoothed by that of this suffix. A
-token is scored from the longest suffix state:
+token. A word seen MIN_WORD times (and the end) is a symbol of its own; other words share the
+symbol of their last two bytes, or of all the rest. A state of the tree is a suffix of the
+symbols before a token, DEPTH at most. A context that was seen MIN_CONTEXT times is kept if its
+next-symbol distribution diverges enough from that of its longest kept suffix; each distribution
+is smoothed by that of this suffix. A token is scored from the longest suffix state:
 P(symbol | state) * P(word) / P(symbol), where P(word) is the add-one unigram. The root
 alone is that unigram.
 
-Documents are dealt into blocks of bounded size. A block sends its distinct words with
-their training counts and gets back each word's count in the whole corpus; so a frequent
-word moves once per block. Totals, the tree and the scores use every training document.
+All floors are absolute: what is learned grows with the training texts, as tables and never as
+one broadcast. Only the endings are broadcast, of which there are at most 65,793.
 
-Size of what is broadcast: symbols, contexts and (context, symbol) entries have
-least empirical probabilities, so there are at most 2 / P_SYMBOL, DEPTH / P_CONTEXT and
-DEPTH / P_ENTRY of them, whatever the input.
+Documents are dealt into blocks of bounded size. A block sends its distinct words with
+their training counts and gets back each word's count in the whole corpus. Then, for each length
+of context, it sends its distinct pairs of context and next symbol and gets back what the tree
+holds for them. A pair is sent only if its context is frequent, which the answers for the next
+shorter length say, and if it may occur twice: blocks send fingerprints of their pairs to owners,
+which answer with bitmaps. Pairs that occur once are only counted, by context. Sequences are known by 64-bit hashes. Totals, the tree and the scores use every training document.
 
 Defined results
 - null text counts as empty: it has the end token alone.
@@ -30,23 +31,23 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import materialize, partitions
+from bramble.llm.common import drop_dir, fresh_dir, materialize, partitions
 
-DEPTH = 2
-P_SYMBOL, P_CONTEXT, P_ENTRY = 5e-5, 5e-5, 1e-6
+DEPTH = 3
+#: Least training counts of a word's own symbol (or an ending's), of a context and of a context's entry.
+MIN_WORD, MIN_CONTEXT, MIN_ENTRY = 4, 4, 2
 #: Least divergence (nats) of a kept context, and least evidence (count times divergence).
 MIN_KL, MIN_EVIDENCE = 0.005, 8.0
 BLOCK_BYTES = 24_000_000
-_BITS = 20
-_CHUNK, _PLACES = 200_000, 6_000_000
-_KEPT_WORDS = 400_000
-END, REST = 0, 1  # symbols
+END, REST = 0, 1  # symbols; endings follow, words have their hashes
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,197 +59,306 @@ def ending(word: bytes) -> bytes:
     return b"\n" + word.rstrip(b".,;:!?")[-2:]  # no word begins with a line feed
 
 
-class Symbols(dict):
-    """Word -> symbol, by the frequent words and endings given."""
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs."""
+    x = np.asarray(a).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.asarray(b).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (x ^ x >> np.uint64(31)).view(np.int64)
 
-    def __init__(self, given: dict[bytes, int]):
-        super().__init__(given)
-        self.given = given
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _KEPT_WORDS + len(self.given):
-            self.clear()
-            self.update(self.given)
-            if word in self.given:
-                return self.given[word]
-        self[word] = s = self.given.get(ending(word), REST)
-        return s
-
-    def of(self, parts: list[bytes]) -> np.ndarray:
-        """The symbols of a text, with the end before and after."""
-        out = np.full(len(parts) + 2, END, dtype=np.int64)
-        out[1:-1] = np.fromiter(map(self.__getitem__, parts), dtype=np.int64, count=len(parts))
-        return out
+def _entry_keys(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return _mix(~context, symbol)
 
 
 @dataclass
 class Tree:
-    """State 0 is the root. By length: sorted context codes and their states; by (state, symbol): natural logarithms of P / P_root."""
+    """A tree in memory, for small inputs. State 0 is the root. By state its context's code and longest kept suffix; by entry the natural logarithm of P / P_root."""
 
-    given: dict[bytes, int]
     root: np.ndarray  # P_root by symbol
-    codes: list[np.ndarray] = field(default_factory=list)
-    states: list[np.ndarray] = field(default_factory=list)
-    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    ratios: np.ndarray = field(default_factory=lambda: np.empty(0))
+    codes: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     back: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    values: np.ndarray = field(default_factory=lambda: np.empty(0))  # natural logarithm of P
 
     def ratio(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log P(symbol | state) / P_root(symbol): the state's entry, or backed off to its suffixes."""
         out, state = np.zeros(len(state)), state.copy()
         todo = np.flatnonzero(state)
         while len(todo):
-            if len(self.keys):
-                key = state[todo] << _BITS | symbol[todo]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = self.keys[at] == key
-                out[todo[hit]] += self.ratios[at[hit]]
-                todo = todo[~hit]
+            at, hit = _find(self.keys, _entry_keys(self.codes[state[todo]], symbol[todo]))
+            out[todo[hit]] += self.values[at[hit]] - np.log(self.root[symbol[todo[hit]]])
+            todo = todo[~hit]
             out[todo] += self.back[state[todo]]
             state[todo] = self.parent[state[todo]]
             todo = todo[state[todo] > 0]
         return out
 
-    def longest(self, codes: list[np.ndarray]) -> np.ndarray:
-        """The state of the longest kept context; codes: by length, -1 where there is no such context."""
-        state = np.zeros(len(codes[0]), dtype=np.int64)
-        todo = np.arange(len(state))
-        for k in range(len(self.codes), 0, -1):
-            if len(self.codes[k - 1]):
-                code = codes[k - 1][todo]
-                at = np.minimum(np.searchsorted(self.codes[k - 1], code), len(self.codes[k - 1]) - 1)
-                hit = self.codes[k - 1][at] == code
-                state[todo[hit]] = self.states[k - 1][at[hit]]
-                todo = todo[~hit]
-        return state
-
-    def gain(self, symbols: np.ndarray) -> float:
-        """log10 of the text's probability over that of the root model; symbols as Symbols.of gives them."""
-        if not self.codes:
-            return 0.0
-        return float(self.ratio(self.longest(contexts(symbols, len(self.codes))), symbols[1:]).sum() / math.log(10))
-
-
-def contexts(symbols: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each token after the first symbol the codes of the 1, 2, ... symbols before it."""
-    n = len(symbols) - 1
-    out, code = [], np.zeros(n, dtype=np.int64)
-    for k in range(1, depth + 1):
-        code = code.copy()
-        code[k - 1 :] |= symbols[: n - k + 1] << (_BITS * (k - 1))
-        code[: k - 1] = -1
-        out.append(code)
-    return out
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether they are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+_STATE = "block long, size binary, train binary, at binary, symbol binary, lroot binary"
+
+
+class _Block:
+    """The tokens of a block: each text with the end before and after it."""
+
+    def __init__(self, row: dict):
+        read = lambda c, kind: np.frombuffer(row[c], dtype=kind)
+        self.block, at = row["block"], read("at", np.int32)
+        self.size = read("size", np.int64)  # tokens after the first end
+        whole = self.size + 1
+        self.symbol, self.lroot = read("symbol", np.int64)[at], read("lroot", np.float64)[at]
+        self.place = np.arange(len(at)) - np.repeat(np.cumsum(whole) - whole, whole)
+        self.train = np.repeat(read("train", np.uint8), whole)
+
+    @staticmethod
+    def row(block: int, places: list[np.ndarray], train: list[bool], symbol: np.ndarray, lroot: np.ndarray, end: float) -> dict:
+        """places: of the words of each text among symbol and lroot."""
+        size = np.array([len(p) + 1 for p in places], np.int64)
+        at = np.zeros(int(size.sum()) + len(size), np.int32)
+        inner = np.ones(len(at), bool)
+        ends = np.cumsum(size + 1)
+        inner[ends - 1] = inner[ends - size - 1] = False
+        at[inner] = np.concatenate([np.empty(0, np.int64), *places]) + 1
+        return {
+            "block": block, "size": size.tobytes(), "train": np.array(train, np.uint8).tobytes(), "at": at.tobytes(),
+            "symbol": np.append(np.int64(END), symbol.astype(np.int64)).tobytes(), "lroot": np.append(end, lroot.astype(np.float64)).tobytes(),
+        }
+
+    def codes(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For length 0, 1, ... the places that have as many symbols before them, and the codes of these contexts by place."""
+        code = np.zeros(len(self.symbol), np.int64)
+        for k in range(depth + 1):
+            if k:
+                code = code.copy()
+                code[k:] = _mix(code[k:], self.symbol[:-k])
+            yield np.flatnonzero(self.place >= max(k, 1)), code
+
+
+class _Answers:
+    """By the key of an entry or a context: its count (0 for a context) and its natural logarithm of P, or of the weight of the suffix."""
+
+    def __init__(self, rows: pa.Table | None):
+        empty = rows is None or not rows.num_rows
+        key, n, v = ((np.empty(0, t) for t in (np.int64, np.int64, np.float64)) if empty else (rows.column(c).to_numpy() for c in ("key", "n", "v")))
+        order = np.argsort(key)
+        self.key, self.n, self.v = key[order], n[order], v[order]
+
+    def entries(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts (0 where there is no entry) and values."""
+        at, hit = _find(self.key, key)
+        n, v = np.zeros(len(key), np.int64), np.full(len(key), np.nan)
+        n[hit], v[hit] = self.n[at[hit]], self.v[at[hit]]
+        return n, v
+
+
+_ASKED = "block long, owner int, fp binary, n binary"
+_REPLY = "block long, key long, n long, v double, owner int, bitmap binary"  # answers have no owner
+_SENT = "block long, key long, code long, n long, q double, singles long"  # for a context code is that of its suffix, n and q are null
+
+
+class _Pairs:
+    """A block's distinct pairs of a context of length k and the next symbol; before: the answers for length k - 1."""
+
+    def __init__(self, b: _Block, k: int, before: _Answers | None):
+        for length, (places, codes) in enumerate(b.codes(k)):
+            if length == k - 1:
+                suffix = codes
+        if before is None:
+            q, can = b.lroot[places], np.ones(len(places), bool)
+        else:
+            n, v = before.entries(_entry_keys(suffix, b.symbol))
+            places = places[n[places - 1] >= MIN_CONTEXT]  # the context as an entry of a shorter one
+            q, can = v[places], n[places] >= MIN_ENTRY
+        code = codes[places]
+        self.key, first, number = np.unique(_entry_keys(code, b.symbol[places]), return_index=True, return_inverse=True)
+        self.n = np.bincount(number, b.train[places], len(self.key)).astype(np.int64)
+        self.code, self.q = code[first], q[first]
+        self.can = can[first]  # else the pair is rarer than an entry, as its suffix is
+        self.context, at, self.of = np.unique(self.code, return_index=True, return_inverse=True)
+        self.suffix = suffix[places[first[at]]]
+
+    def owned(self, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that others may have as well, their owners in ascending order, and their fingerprints."""
+        pairs = np.flatnonzero(self.can)
+        high = self.key[pairs].view(np.uint64) >> np.uint64(32)
+        owner = (high * np.uint64(owners) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(owner, kind="stable")
+        return pairs[order], owner[order], self.key[pairs[order]].astype(np.uint32)
+
+
+def _read(rows: pa.Table, before: bool) -> tuple[dict[int, bytes], _Answers | None]:
+    maps, keys = rows.filter(pc.is_valid(rows.column("owner"))), rows.filter(pc.is_null(rows.column("owner")))
+    return dict(zip(maps.column("owner").to_pylist(), maps.column("bitmap").to_pylist(), strict=True)), _Answers(keys) if before else None
+
+
+def _ask(k: int, owners: int):
+    def run(state: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        out = []
+        for row in state.to_pylist():
+            p = _Pairs(_Block(row), k, None if answers is None else _Answers(answers))
+            pairs, owner, fp = p.owned(owners)
+            n = np.minimum(p.n[pairs], MIN_ENTRY).astype(np.uint8)
+            ends = np.searchsorted(owner, np.arange(owners + 1))
+            out += [(row["block"], o, fp[x:y].tobytes(), n[x:y].tobytes()) for o, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({"block": pa.array(cols[0], pa.int64()), "owner": pa.array(cols[1], pa.int32()), "fp": pa.array(cols[2], pa.binary()), "n": pa.array(cols[3], pa.binary())})
+
+    if k == 1:
+        return lambda state: run(state)
+    return lambda state, answers: run(state, answers)
+
+
+def _own(rows: pa.Table) -> pa.Table:
+    """At an owner: for each block a bitmap over what it sent, set where the training texts may have it as often as an entry."""
+    parts = [np.frombuffer(x, np.uint32) for x in rows.column("fp").to_pylist()]
+    n = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8)
+    _, number = np.unique(np.concatenate(parts), return_inverse=True)
+    often = np.bincount(number, n)[number] >= MIN_ENTRY
+    maps = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum([len(x) for x in parts])[:-1])]
+    return pa.table({"block": rows.column("block"), "owner": rows.column("owner"), "bitmap": pa.array(maps, pa.binary())})
+
+
+def _send(k: int, owners: int):
+    """Pairs that may be entries, and contexts with the number of the block's other training pairs, which occur once in all."""
+
+    def one(row: dict, replies: pa.Table) -> pa.Table:
+        maps, before = _read(replies, k > 1)
+        p = _Pairs(_Block(row), k, before)
+        pairs, owner, _ = p.owned(owners)
+        often = np.zeros(len(p.key), bool)
+        ends = np.searchsorted(owner, np.arange(owners + 1))
+        for o, bits in maps.items():
+            often[pairs[ends[o] : ends[o + 1]]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: ends[o + 1] - ends[o]]
+        singles = np.bincount(p.of[~often], p.n[~often], len(p.context)).astype(np.int64)
+        m, c = int(often.sum()), len(p.context)
+        rows = np.flatnonzero(often)
+        rows = rows[np.argsort(p.of[rows], kind="stable")]  # by context, so that the files are small
+        q = np.concatenate([p.q[rows], np.full(c, np.nan)])
+        is_context = np.repeat([False, True], [m, c])
+        return pa.table({
+            "block": pa.array(np.full(m + c, row["block"], np.int64)), "key": pa.array(np.concatenate([p.key[rows], p.context])),
+            "code": pa.array(np.concatenate([p.code[rows], p.suffix])), "n": pa.array(np.concatenate([p.n[rows], np.zeros(c, np.int64)]), mask=is_context),
+            "q": pa.array(q, mask=np.isnan(q)), "singles": pa.array(np.concatenate([np.zeros(m, np.int64), singles]), mask=~is_context),
+        })
+
+    none = pa.table({"block": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "q": pa.array([], pa.float64()), "singles": pa.array([], pa.int64())})
+    return lambda state, replies: pa.concat_tables([none, *(one(row, replies) for row in state.to_pylist())])
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= _CHUNK:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _count(texts: DataFrame, given, k: int, known: np.ndarray, entry: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Next symbols in the known contexts of length k: context, symbol and count of the entries that are frequent enough; total and number of symbols by known context."""
-    sent = texts.sparkSession.sparkContext.broadcast(known)
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        # number of the context, then symbol
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys >> _BITS), pa.array((keys & ((1 << _BITS) - 1)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["at", "symbol", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, held, size = Symbols(given.value), [], 0
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                s = symbols.of(words_of(t))
-                code = contexts(s, k)[k - 1]
-                at = np.minimum(np.searchsorted(sent.value, code), len(sent.value) - 1)
-                hit = sent.value[at] == code
-                held.append(at[hit] << _BITS | s[1:][hit])
-                size += len(held[-1])
-            if size >= _PLACES:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
-
-    counted = materialize(texts.mapInArrow(run, "at long, symbol int, n long").groupBy("at", "symbol").agg(F.sum("n").alias("n")), "contexts")
-    sums = counted.groupBy("at").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).toArrow()
-    total, kinds = np.zeros(len(known)), np.zeros(len(known))
-    total[sums.column("at").to_numpy()], kinds[sums.column("at").to_numpy()] = sums.column("total").to_numpy(), sums.column("kinds").to_numpy()
-    rows = counted.filter(F.col("n") >= entry).toArrow()
-    at, symbol, n = (rows.column(c).to_numpy() for c in ("at", "symbol", "n"))
-    order = np.lexsort((symbol, at))
-    return at[order], symbol[order].astype(np.int64), n[order].astype(np.float64), total, kinds
 
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As materialize, with the path."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def grow(state: DataFrame, depth: int, unkept: bool = False) -> list[tuple[DataFrame, DataFrame]]:
+    """The tree, length by length: what was learned (key, n, v, suffix) and the same for each block that asked.
+
+    Of an entry v is the natural logarithm of P, from the longest kept suffix of its context; of a kept context, whose
+    n is 0, that of the weight of its suffix. unkept: with contexts that are not kept, whose v is 0.
+    """
+    out, owners = [], partitions(state.sparkSession)
+    for k in range(1, depth + 1):
+        blocks = state.groupBy("block")
+        if k == 1:
+            asked = blocks.applyInArrow(_ask(k, owners), _ASKED)
+        else:
+            asked = blocks.cogroup(out[-1][1].groupBy("block")).applyInArrow(_ask(k, owners), _ASKED)
+        maps = asked.groupBy("owner").applyInArrow(_own, "block long, owner int, bitmap binary")
+        replies = maps.selectExpr("block", "cast(null as long) as key", "cast(null as long) as n", "cast(null as double) as v", "owner", "bitmap")
+        if k > 1:
+            replies = replies.unionByName(out[-1][1].selectExpr("block", "key", "n", "v", "cast(null as int) as owner", "cast(null as binary) as bitmap"))
+        asked, asked_path = _stored(blocks.cogroup(replies.groupBy("block")).applyInArrow(_send(k, owners), _SENT), f"asked-{k}")
+        # The columns are the same in both uses, so that the exchange is made once.
+        pairs = asked.filter("n IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.min("code").alias("code"), F.max("q").alias("q")).filter("n > 0")
+        entry = F.col("n") >= MIN_ENTRY
+        parts = pairs.select("code", F.col("n").alias("total"), F.lit(1).cast("long").alias("kinds"), F.when(entry, F.col("n")).otherwise(0).alias("held"), F.when(entry, F.exp("q")).otherwise(0.0).alias("qs"))
+        parts = parts.unionByName(asked.filter("singles > 0").select(F.col("key").alias("code"), F.col("singles").alias("total"), F.col("singles").alias("kinds"), F.lit(0).cast("long").alias("held"), F.lit(0.0).alias("qs")))
+        totals = parts.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("total", "kinds", "held", "qs")]).filter((F.col("total") >= MIN_CONTEXT) & (F.col("held") > 0))
+        back = (F.col("kinds") + F.col("total") - F.col("held")) / (F.col("total") + F.col("kinds"))
+        found = pairs.filter(entry).join(totals, "code").withColumn("back", back)
+        found = found.withColumn("p", F.col("n") / (F.col("total") + F.col("kinds")) + F.col("back") * F.exp("q"))
+        found, found_path = _stored(found.select("code", "key", "n", "q", "p", "back", "total", (F.col("held") / (F.col("total") + F.col("kinds")) + F.col("back") * F.col("qs")).alias("ps"), "qs"), f"entries-{k}")
+        rest = F.greatest(1 - F.col("ps"), F.lit(1e-9))
+        kl = F.col("kl") + F.when(1 - F.col("ps") > 1e-9, rest * F.log(rest / F.greatest(1 - F.col("qs"), F.lit(1e-9)))).otherwise(0.0)
+        kept = (
+            found.groupBy("code").agg(F.sum(F.col("p") * (F.log("p") - F.col("q"))).alias("kl"), F.max("ps").alias("ps"), F.max("qs").alias("qs"), F.max("back").alias("back"), F.max("total").alias("total"))
+            .withColumn("kl", kl).withColumn("kept", (F.col("kl") >= MIN_KL) & (F.col("kl") * F.col("total") >= MIN_EVIDENCE))
+            .filter(F.col("kept") | F.lit(unkept)).select("code", "kept", F.when(F.col("kept"), F.log("back")).otherwise(0.0).alias("v"))
+        )
+        kept, kept_path = _stored(kept, f"contexts-{k}")
+        entries = found.join(kept.select("code", "kept"), "code", "left").select("key", "n", F.when(F.col("kept"), F.log("p")).otherwise(F.col("q")).alias("v"))
+        learned = entries.unionByName(kept.select(F.col("code").alias("key"), F.lit(0).cast("long").alias("n"), "v"))
+        answers = materialize(asked.select("block", "key", F.when(F.col("n").isNull(), F.col("code")).alias("suffix")).join(learned, "key"), f"answers-{k}")
+        for path in (asked_path, found_path, kept_path):
+            drop_dir(state.sparkSession, path)
+        out.append((answers.select("key", "n", "v", "suffix").dropDuplicates(["key"]), answers.select("block", "key", "n", "v")))
+    return out
 
-def symbol_table(totals: DataFrame, n_all: int, v_all: int, texts: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Frequent words and endings with their symbols; by symbol P_root and the training count."""
 
+def _endings(totals: DataFrame) -> DataFrame:
     @F.pandas_udf("binary")
     def ends(words):
         return words.map(ending)
 
-    floor = max(2.0, P_SYMBOL * n_all)
-    seen = totals.filter("n > 0")
-    words = seen.filter(F.col("n") >= floor).orderBy("word").toArrow()
-    endings = seen.filter(F.col("n") < floor).groupBy(ends("word").alias("word")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
-    endings = endings.filter(F.col("n") >= floor).orderBy("word").toArrow()
-    rare = seen.filter(F.col("n") < floor).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    given = {w: i + 2 for i, w in enumerate([*words.column("word").to_pylist(), *endings.column("word").to_pylist()])}
-    word_n, end_n, end_types = (c.to_numpy().astype(np.float64) for c in (words.column("n"), endings.column("n"), endings.column("types")))
-    n = np.concatenate([[texts, rare[0] - end_n.sum()], word_n, end_n])
-    types = np.concatenate([[0, rare[1] - end_types.sum()], np.zeros(len(word_n)), end_types])
-    return given, (n + types + 1) / (n_all + v_all + 1), n
+    return totals.filter(F.col("n").between(1, MIN_WORD - 1)).groupBy(ends("word").alias("word")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).orderBy("word")
+
+
+def ending_table(totals: DataFrame, n_all: int, v_all: int, texts: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Endings with their symbols; by symbol (end, rest, endings) P_root and the training count."""
+    rows = _endings(totals).toArrow()
+    word, n, types = rows.column("word").to_pylist(), *(rows.column(c).to_numpy().astype(np.float64) for c in ("n", "types"))
+    own = n >= MIN_WORD
+    n, types = np.concatenate([[texts, n[~own].sum()], n[own]]), np.concatenate([[0, types[~own].sum()], types[own]])
+    return {w: i + 2 for i, w in enumerate(w for w, o in zip(word, own, strict=True) if o)}, (n + types + 1) / (n_all + v_all + 1), n
+
+
+def symbol_table(totals: DataFrame, n_all: int, v_all: int, texts: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Frequent words and endings with their symbols, in memory; by symbol P_root and the training count."""
+    given, root, n = ending_table(totals, n_all, v_all, texts)
+    words = totals.filter(F.col("n") >= MIN_WORD).orderBy("word").toArrow()
+    word_n = words.column("n").to_numpy().astype(np.float64)
+    given |= {w: i + len(root) for i, w in enumerate(words.column("word").to_pylist())}
+    return given, np.concatenate([root, (word_n + 1) / (n_all + v_all + 1)]), np.concatenate([n, word_n])
 
 
 def train(texts: DataFrame, given: dict[bytes, int], root: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> Tree:
-    """Builds the tree from the training texts."""
-    tree = Tree(given, root)
-    places = n.sum()
-    if not places or len(root) >= 1 << _BITS:
+    """The tree of a small input, in memory; score() never collects it."""
+    tree = Tree(root)
+    if not n.sum():
         return tree
-    sent = texts.sparkSession.sparkContext.broadcast(given)
-    floor, entry = max(4.0, P_CONTEXT * places), max(2.0, P_ENTRY * places)
-    known = np.flatnonzero(n >= floor).astype(np.int64)
-    state_of = np.zeros(len(known), dtype=np.int64)  # of the longest kept suffix
-    for k in range(1, depth + 1):
-        if not len(known):
-            break
-        at, symbol, count, total, kinds = _count(texts, sent, k, known, entry)
-        suffix = tree.ratio(state_of[at], symbol)
-        q = np.exp(suffix) * root[symbol]
-        weight = np.maximum(kinds, 1.0)
-        rest = total - np.bincount(at, count, len(known))  # of symbols without an entry
-        back = (weight + rest) / (total + weight)
-        p = count / (total + weight)[at] + back[at] * q
-        p_rest, q_rest = 1 - np.bincount(at, p, len(known)), 1 - np.bincount(at, q, len(known))
-        kl = np.bincount(at, p * np.log(p / q), len(known)) + np.where(p_rest > 1e-9, p_rest * np.log(np.maximum(p_rest, 1e-9) / np.maximum(q_rest, 1e-9)), 0)
-        kept = (total > 0) & (kl >= MIN_KL) & (kl * total >= MIN_EVIDENCE)
-        number = len(tree.parent) + np.cumsum(kept) - 1
-        tree.codes.append(known[kept])
-        tree.states.append(number[kept])
-        tree.parent = np.append(tree.parent, state_of[kept])
-        tree.back = np.append(tree.back, np.log(back[kept]))
-        rows = kept[at]
-        tree.keys = np.append(tree.keys, number[at[rows]] << _BITS | symbol[rows])
-        tree.ratios = np.append(tree.ratios, np.log(p[rows] / root[symbol[rows]]))
-        if k < depth:  # longer contexts: a known one and the symbol after it, where frequent; the suffix is that symbol
-            longer = count >= floor
-            code = known[at[longer]] << _BITS | symbol[longer]
-            order = np.argsort(code)
-            state_now = np.where(kept, number, state_of)
-            last = code[order] & ((1 << (_BITS * k)) - 1)
-            place = np.minimum(np.searchsorted(known, last), len(known) - 1)
-            found = known[place] == last
-            known, state_of = code[order][found], state_now[place[found]]
+    lroot = np.log(root)
+
+    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, b in enumerate(batches):
+            symbols = [[given.get(w, given.get(ending(w), REST)) for w in words_of(t)] for t in b.column("text").to_pylist()]
+            places = [np.array(x, np.int64) for x in symbols]
+            yield pa.RecordBatch.from_pylist([_Block.row(i, places, [True] * len(places), np.arange(len(root)), lroot, lroot[END])], schema=pa.schema([(c.split()[0], pa.int64() if c.startswith("block") else pa.binary()) for c in _STATE.split(", ")]))
+
+    levels = grow(materialize(texts.select("text").repartition(1).mapInArrow(state, _STATE), "tokens"), depth, unkept=True)
+    state_of: dict[int, int] = {}  # of the longest kept suffix, by context
+    for learned, _ in levels:
+        rows = learned.toArrow()
+        key, count, value, suffix = (rows.column(c).to_numpy() for c in ("key", "n", "v", "suffix"))
+        for i in np.flatnonzero(count == 0).tolist():
+            parent = state_of.get(int(suffix[i]), 0)
+            if value[i] < 0:
+                tree.codes, tree.parent, tree.back = np.append(tree.codes, key[i]), np.append(tree.parent, parent), np.append(tree.back, value[i])
+                parent = len(tree.codes) - 1
+            state_of[int(key[i])] = parent
+        contexts = count == 0
+        order = np.argsort(keys := np.append(tree.keys, key[~contexts]))
+        tree.keys, tree.values = keys[order], np.append(tree.values, value[~contexts])[order]
     return tree
 
 
@@ -273,39 +383,85 @@ def score(docs: DataFrame, train_on: Column, text: str = "text", depth: int = DE
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("train").alias("texts")).first()
     blocks = max(2 * partitions(spark), math.ceil((size["bytes"] or 0) / BLOCK_BYTES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    sent = materialize(dealt.select("block", "text", "train").groupBy("block").applyInArrow(_block_words, "block long, word binary, n long"), "block-words")
-    totals = materialize(sent.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    sent, sent_path = _stored(dealt.select("block", "text", "train").groupBy("block").applyInArrow(_block_words, "block long, word binary, n long"), "block-words")
+    totals, totals_path = _stored(sent.groupBy("word").agg(F.sum("n").alias("n")), "words")
     seen = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     texts = int(size["texts"] or 0)
     n_all, v_all = int(seen["n"]) + texts, int(seen["v"]) + (texts > 0)
-    given, root, counts = symbol_table(totals, n_all, v_all, texts)
-    tree = train(rows.filter("train").select("text"), given, root, counts, depth)
-    model = spark.sparkContext.broadcast(tree)
+    given, root, _ = ending_table(totals, n_all, v_all, texts)
+    model = spark.sparkContext.broadcast((given, np.log(root)))
     below = n_all + v_all + 1
     end_base = math.log10((texts + 1) / below)
-    answers = sent.select("block", "word").join(totals, "word")
+    answers = sent.select("block", "word").join(totals, "word").select("block", "word", "n", F.xxhash64("word").alias("hash"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def add_up(key: tuple[pa.Scalar, ...], texts_in: pa.Table, words: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+    def tokens(key: tuple[pa.Scalar, ...], texts_in: pa.Table, words: pa.Table) -> pa.Table:
+        """One row: the block's tokens, and by text what needs no tree."""
+        endings, lroot = model.value
         n = words.column("n").to_numpy()
+        number = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+        hashes, logs = words.column("hash").to_numpy(), np.log((n + 1) / below)
         base, known = np.log10((n + 1) / below), n > 0
-        tree, out = model.value, []
-        symbols = Symbols(tree.given)
-        for t in texts_in.column("text").to_pylist():
-            parts = words_of(t)
-            at = np.fromiter(map(number.__getitem__, parts), dtype=np.int64, count=len(parts))
-            out.append((len(parts) + 1, int(known[at].sum()) + (texts > 0), b := float(base[at].sum()) + end_base, b + tree.gain(symbols.of(parts))))
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({
-            "doc_id": texts_in.column("doc_id"), "train": texts_in.column("train"),
-            "n_tokens": pa.array(cols[0], pa.int64()), "n_known": pa.array(cols[1], pa.int64()), "train_tokens": pa.array([n_all] * len(out), pa.int64()),
-            "base_score": pa.array(cols[2], pa.float64()), "score": pa.array(cols[3], pa.float64()),
-        })
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return (
+        words_in = list(number)
+        symbol = hashes.copy()
+        rare = np.flatnonzero(n < MIN_WORD)
+        symbol[rare] = [endings.get(ending(words_in[i]), REST) for i in rare.tolist()]
+        logs[rare] = lroot[symbol[rare]]
+        texts_of = (words_of(t) for t in texts_in.column("text").to_pylist())
+        places = [np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)) for parts in texts_of]
+        row = _Block.row(key[0].as_py(), places, texts_in.column("train").to_pylist(), symbol, logs, lroot[END])
+        out = {c: pa.array([row[c]], pa.int64() if c == "block" else pa.binary()) for c in row}
+        lists = {"doc_id": texts_in.column("doc_id"), "known": pa.array([int(known[p].sum()) + (texts > 0) for p in places], pa.int64()), "base": pa.array([float(base[p].sum()) + end_base for p in places], pa.float64())}
+        for c, v in lists.items():
+            v = pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v
+            out[c] = pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        return pa.table(out)
+
+    state = (
         dealt.select("block", "doc_id", "text", "train")
         .groupBy("block")
-        .cogroup(answers.select("block", "word", "n").groupBy("block"))
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(tokens, f"{_STATE}, doc_id array<{id_type}>, known array<long>, base array<double>")
+    )
+    state = materialize(state, "tokens")
+    for path in (sent_path, totals_path):
+        drop_dir(spark, path)
+    levels = grow(state.select(*[c.split()[0] for c in _STATE.split(", ")]), depth) if texts else []
+    longest = len(levels)
+    told = reduce(DataFrame.unionByName, [a for _, a in levels]) if levels else spark.createDataFrame([], "block long, key long, n long, v double")
+
+    def add_up(state: pa.Table, answers: pa.Table) -> pa.Table:
+        known, out = _Answers(answers), []
+        for i, row in enumerate(state.select([c.split()[0] for c in _STATE.split(", ")]).to_pylist()):
+            b = _Block(row)
+            ratio = np.zeros(len(b.symbol))
+            frequent = None  # by place, as an entry of the contexts one shorter
+            for k, (places, codes) in enumerate(b.codes(longest)):
+                if not k:
+                    continue
+                if frequent is not None:
+                    places = places[frequent[places - 1]]
+                n, v = known.entries(_entry_keys(codes[places], b.symbol[places]))
+                _, back = known.entries(codes[places])
+                ratio[places] = np.where(n > 0, v - b.lroot[places], ratio[places] + np.nan_to_num(back))
+                frequent = np.zeros(len(b.symbol), bool)
+                frequent[places] = n >= MIN_CONTEXT
+            starts = np.cumsum(b.size + 1) - (b.size + 1)
+            gain = np.add.reduceat(ratio, starts) / math.log(10) if len(starts) else np.zeros(0)
+            base = row_of(state, "base", i)
+            train_it = pa.array(np.frombuffer(row["train"], np.uint8).astype(bool))
+            out.append(pa.table({
+                "doc_id": row_of(state, "doc_id", i), "train": train_it, "n_tokens": pa.array(b.size), "n_known": row_of(state, "known", i),
+                "train_tokens": pa.array(np.full(len(b.size), n_all, np.int64)), "base_score": base, "score": pa.array(base.to_numpy() + gain),
+            }))
+        return pa.concat_tables(out)
+
+    def row_of(state: pa.Table, column: str, i: int) -> pa.Array:
+        return state.column(column)[i].values
+
+    return (
+        state.groupBy("block")
+        .cogroup(told.groupBy("block"))
         .applyInArrow(add_up, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )

@@ -309,6 +309,18 @@ def test_scores_are_probabilities(spark):
         assert abs(p.sum() - 1) < 0.02 and (p[live] > 0).all()
 
 
+def test_rare_contexts_count_in_a_large_corpus(spark):
+    """What six occurrences say is learned however much other text there is, and from three words back."""
+    rows = [(10 + i, LONG + str(i)) for i in range(5)]
+    rows += [(100 + i, f"{i % 50}ax {i % 50}by") for i in range(300)]
+    rows += [(1000 + i, "pp mm nn qq" if i % 2 else "rr mm nn ss") for i in range(40)]
+    asked = ["7ax 7by", "7ax 8by", "pp mm nn qq", "pp mm nn ss"]
+    rows += [(-1 - i, t) for i, t in enumerate(asked)]
+    score = {r.doc_id: r.score for r in suffix_tree.score(docs(spark, rows), F.col("doc_id") > 0).filter("doc_id < 0").collect()}
+    assert score[-1] > score[-2] + 1
+    assert score[-3] > score[-4] + 0.5
+
+
 def test_scores_without_training(spark):
     got = suffix_tree.score(docs(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)}
