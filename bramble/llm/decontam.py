@@ -1,10 +1,11 @@
 """Benchmark decontamination with spaced seeds.
 
-A window is SPAN tokens. Each fixed mask leaves out one third of the window and
-hashes the rest; windows of documents and of benchmark items that agree under a mask
+A window is SPAN tokens, in four parts. Each fixed mask leaves out two of the parts and
+hashes the other two; windows of documents and of benchmark items that agree under a mask
 meet in an equi-join. Around the hit the whole windows are then compared:
 at least NEED tokens must be equal, so a substituted token does not hide a copy.
-Any window with one substitution is found by some mask, wherever it lies.
+Two substitutions lie in two parts at most, so some mask leaves out both: every window that
+passes the comparison is found.
 
 Tokens are the runs of letters and digits of the lower-cased text. Two bitmaps of
 fixed size, made from the benchmark, drop positions that cannot hit: one over the
@@ -23,12 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN, NEED = 12, 10
-#: For each mask: the required offsets, and where two neighbours among them begin.
-MASKS = (
-    (tuple(range(4, 12)), 4),
-    ((*range(4), *range(8, 12)), 0),
-    (tuple(range(8)), 0),
-)
+#: For each mask: the required offsets, and where two neighbours among them begin. SPAN - NEED is 2, the number of parts left out.
+_PARTS = tuple(tuple(range(p, p + SPAN // 4)) for p in range(0, SPAN, SPAN // 4))
+MASKS = tuple((one + two, one[0]) for i, one in enumerate(_PARTS) for two in _PARTS[i + 1 :])
 _PAIR_BITS, _KEY_BITS = 1 << 18, 1 << 20
 #: Benchmark windows up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000

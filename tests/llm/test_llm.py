@@ -431,6 +431,28 @@ def test_leaks_with_substitutions(spark):
     assert decontam.contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_leaks_against_plain_windows(spark):
+    """Any two or three substitutions, wherever they lie, against all windows compared without masks."""
+    rng = random.Random(3)
+    item = [f"w{i}" for i in range(15)]
+    rows = []
+    for i in range(15):
+        for j in range(i + 1, 15):
+            for more in (None, rng.randrange(15)):
+                rows.append((len(rows), ["zz" if k in (i, j, more) else w for k, w in enumerate(item)]))
+    rows.append((len(rows), [f"no{k}" if k % 6 == 5 else f"v{k}" for k in range(40)]))
+    items = {1: item, 2: [f"v{k}" for k in range(40)]}
+    want = set()
+    for d, words in rows:
+        for b, other in items.items():
+            best = [max(sum(x == y for x, y in zip(words[s : s + 12], other[e : e + 12])) for e in range(len(other) - 11)) for s in range(len(words) - 11)]
+            if (n := sum(x >= 10 for x in best)) > 0:
+                want.add((d, b, n, max(best)))
+    bench = spark.createDataFrame([(b, " ".join(x)) for b, x in items.items()], "item_id long, text string")
+    got = decontam.contaminated(docs(spark, [(d, " ".join(x)) for d, x in rows]), bench).collect()
+    assert len(want) > 105 and {(r.doc_id, r.item_id, r.n_windows, r.best_match) for r in got} == want
+
+
 def test_leaks_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", -1)
     text = " ".join(f"t{i}" for i in range(20))
