@@ -16,7 +16,7 @@ partitions Spark splits.
 
 Defined results
 - null text counts as empty, and all empty texts are equal.
-- of equal texts the row with the largest doc_id stays; null ids only stay where a group has no other. Rows that repeat doc_id and text are one document: all carry the same flags.
+- of equal texts the row with the largest doc_id stays; null ids only stay where a group has no other. Rows that repeat doc_id and text are one document: all carry the same flags. drop_duplicates leaves one of them, and every row without doc_id.
 - an empty table gives an empty result; other columns do not matter.
 """
 
@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bramble.llm.common import materialize, partitions
@@ -167,6 +167,18 @@ def duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs whose document stays, with all their columns."""
-    gone = duplicate_groups(docs, text).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each text that has a doc_id, with all columns, and the rows without doc_id."""
+    groups = materialize(duplicate_groups(docs, text).filter("group_size > 1 AND doc_id IS NOT NULL"), "groups")
+    gone = groups.filter("NOT kept").select("doc_id", "text_sha256").distinct()
+    repeated = groups.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "text_sha256")
+
+    def on(rows: DataFrame) -> Column:
+        return (docs["doc_id"] == rows["doc_id"]) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == rows["text_sha256"])
+
+    if repeated.isEmpty():
+        return docs.join(gone.hint("shuffle_hash"), on(gone), "left_anti").select(*docs.columns)
+    others = gone.union(repeated)
+    single = docs.join(others.hint("shuffle_hash"), on(others), "left_anti")
+    # Each repeated text is that of one doc_id here, and null counts as empty.
+    one = docs.join(repeated.hint("shuffle_hash"), on(repeated), "left_semi").withColumn("_body", F.coalesce(F.col(text), F.lit(""))).dropDuplicates(["doc_id", "_body"])
+    return single.select(*docs.columns).unionByName(one.select(*docs.columns))

@@ -104,6 +104,16 @@ def test_exact_duplicates(spark):
     assert {r.doc_id for r in left.collect()} == {2, 5, 6, 7, 8, 599, None}
 
 
+def test_exact_duplicates_are_dropped_by_row(spark):
+    """Rows that repeat id and text leave one; an id that lost one text keeps its other."""
+    rows = [(1, "a"), (1, "a"), (1, "a"), (0, "a"), (5, "b"), (9, "b"), (5, "c"), (5, "c"), (3, "alone"), (4, None), (4, ""), (2, "")]
+    left = exact_dedup.drop_duplicates(docs(spark, rows))
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == [(1, "a"), (3, "alone"), (4, ""), (5, "c"), (9, "b")]
+    assert left.columns == docs(spark, rows).columns
+    unique = [(1, "a"), (5, "b"), (9, "b"), (5, "c")]
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.drop_duplicates(docs(spark, unique)).collect()) == [(1, "a"), (5, "c"), (9, "b")]
+
+
 def test_exact_duplicates_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BROADCAST_SUSPECTS", -1)
     monkeypatch.setattr(exact_dedup, "SOURCE_ROWS", 3)
