@@ -91,8 +91,8 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; one in seven is held out of the training."""
-    bounded_batches(spark, 8192)  # texts are in blocks of bounded size; the others are rows of numbers
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # each step is stored; its shuffle can go
+    bounded_batches(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # each round is stored; its shuffle can go
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     scored = suffix_tree.score(docs, ~held_out)

@@ -1,467 +1,423 @@
-"""Language-model scores from a probabilistic suffix tree over word symbols.
-
-Words are whitespace-separated after lower-casing A-Z; a text is its words and one end
-token. A word seen MIN_WORD times (and the end) is a symbol of its own; other words share the
-symbol of their last two bytes, or of all the rest. A state of the tree is a suffix of the
-symbols before a token, DEPTH at most. A context that was seen MIN_CONTEXT times is kept if its
-next-symbol distribution diverges enough from that of its longest kept suffix; each distribution
-is smoothed by that of this suffix. A token is scored from the longest suffix state:
-P(symbol | state) * P(word) / P(symbol), where P(word) is the add-one unigram. The root
-alone is that unigram.
-
-All floors are absolute: what is learned grows with the training texts, as tables and never as
-one broadcast. Only the endings are broadcast, of which there are at most 65,793.
-
-Documents are dealt into blocks of bounded size. A block sends its distinct words with
-their training counts and gets back each word's count in the whole corpus. Then, for each length
-of context, it sends its distinct pairs of context and next symbol and gets back what the tree
-holds for them. A pair is sent only if its context is frequent, which the answers for the next
-shorter length say, and if it may occur twice: blocks send fingerprints of their pairs to owners,
-which answer with bitmaps. Pairs that occur once are only counted, by context. Sequences are known by 64-bit hashes. Totals, the tree and the scores use every training document.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+Words are whitespace-separated after lower-casing A-Z; a text is a start, its words and one
+end token. A state of the tree is a context: up to DEPTH symbols before a token, the start among
+them. Contexts are of variable length. One is retained if its next symbols diverge enough from
+those of the context one shorter: the log-likelihood that it gains over all its training
+occurrences must pay PENALTY nats for each distinct next symbol. A context that occurs once is
+never retained. There is no other floor, so what is learned grows with the training texts.
+
+The root is the add-one unigram (one more place for all unseen words). A retained context s that
+occurs n(s) times with T(s) distinct next symbols smooths its counts by the distribution q of its
+longest retained suffix: P(w | s) = (n(s, w) + T(s) q(w)) / (n(s) + T(s)). Every distribution adds
+up to 1. A token is scored by its longest retained context.
+
+Counting is an exchange between blocks of whole texts and owners of ranges of 64-bit hashes.
+Round by round, a block sends the distinct sequences whose counts it must know, with its own
+counts, and owners answer with totals. Left out, without loss, are sequences
+- whose context the training texts have at most once;
+- whose context without its first symbol has a single next symbol: longer contexts cannot gain
+  anything over it;
+- of held-out texts, if the training texts lack the sequence without its first symbol.
+A sequence that several blocks have is told to one of them to be its first; so distinct next
+symbols are counted by context. Contexts go to owners one round later, with the number of
+distinct next symbols and the gain; these say which are retained.
+
+Only messages are shuffled, pre-aggregated by block, so a word or a text that fills a third of
+the corpus is a row of each block's message. A block's tokens and counts are files in the shared
+folder, named anew by each attempt of a task; a reply names the files that belong to it.
+
+Memory: a task holds one block (about 100 bytes a token, BLOCK_BYTES of text) or what one owner was
+sent (the number of owners grows with the text, OWNER_BYTES). Nothing is broadcast.
 
 Defined results
 - null text counts as empty: it has the end token alone.
-- without training documents every base term is log10(1) = 0 and the tree is its root.
-- rows may repeat, null ids included; rows that repeat id and text share a block; words may have any length; an empty table gives an empty result; other columns do not matter.
+- without training documents every term is log10(1) = 0.
+- rows may repeat, null ids included; words may have any length; words and sequences are known by 64-bit hashes; an empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import drop_dir, fresh_dir, materialize, partitions
+from bramble.llm import files
+from bramble.llm.common import drop_dir, fresh_dir, partitions
 
-DEPTH = 3
-#: Least training counts of a word's own symbol (or an ending's), of a context and of a context's entry.
-MIN_WORD, MIN_CONTEXT, MIN_ENTRY = 4, 4, 2
-#: Least divergence (nats) of a kept context, and least evidence (count times divergence).
-MIN_KL, MIN_EVIDENCE = 0.005, 8.0
-BLOCK_BYTES = 24_000_000
-END, REST = 0, 1  # symbols; endings follow, words have their hashes
+DEPTH = 5
+#: Nats that each distinct next symbol of a retained context must gain.
+PENALTY = 2.0
+#: Most text of a block (less where there are fewer blocks than partitions), and text for each owner.
+BLOCK_BYTES, OWNER_BYTES = 14_000_000, 8_000_000
+START, END = 0, 1  # symbols of a block; its words follow
+
+_MESSAGE = "block long, files array<string>, owner int, keys binary, n binary, contexts binary, kinds binary, gain binary"
+_REPLY = "block long, files array<string>, owner int, n binary, first binary, kinds binary, tokens long, types long"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def ending(word: bytes) -> bytes:
-    """What rare words are grouped by: the last two bytes before closing punctuation."""
-    return b"\n" + word.rstrip(b".,;:!?")[-2:]  # no word begins with a line feed
-
-
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64-bit hashes of pairs."""
-    x = np.asarray(a).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (np.asarray(b).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x632BE59BD9B4E019))
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return (x ^ x >> np.uint64(31)).view(np.int64)
-
+    return x ^ x >> np.uint64(31)
 
-def _entry_keys(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return _mix(~context, symbol)
 
+def _pack(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as byte planes of the least width: high planes are mostly zero and compress."""
+    a = np.ascontiguousarray(a).astype("<u8", copy=False)
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + a.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-@dataclass
-class Tree:
-    """A tree in memory, for small inputs. State 0 is the root. By state its context's code and longest kept suffix; by entry the natural logarithm of P / P_root."""
 
-    root: np.ndarray  # P_root by symbol
-    codes: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    back: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    values: np.ndarray = field(default_factory=lambda: np.empty(0))  # natural logarithm of P
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<i8").ravel()
 
-    def ratio(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log P(symbol | state) / P_root(symbol): the state's entry, or backed off to its suffixes."""
-        out, state = np.zeros(len(state)), state.copy()
-        todo = np.flatnonzero(state)
-        while len(todo):
-            at, hit = _find(self.keys, _entry_keys(self.codes[state[todo]], symbol[todo]))
-            out[todo[hit]] += self.values[at[hit]] - np.log(self.root[symbol[todo[hit]]])
-            todo = todo[~hit]
-            out[todo] += self.back[state[todo]]
-            state[todo] = self.parent[state[todo]]
-            todo = todo[state[todo] > 0]
-        return out
 
+def _least_key(owner: int, owners: int) -> np.uint64:
+    """Owners have equal ranges of keys."""
+    return np.uint64(-(-(owner << 64) // owners))
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in sorted keys, and whether they are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
 
+def _pack_keys(sorted_keys: np.ndarray, least: np.uint64) -> bytes:
+    """Differences, the first one from the least key of the owner."""
+    return _pack(np.diff(sorted_keys, prepend=least))
 
-_STATE = "block long, size binary, train binary, at binary, symbol binary, lroot binary"
 
+def _unpack_keys(raw: bytes, least: np.uint64) -> np.ndarray:
+    return np.cumsum(_unpack(raw).view(np.uint64), dtype=np.uint64) + least
 
-class _Block:
-    """The tokens of a block: each text with the end before and after it."""
 
-    def __init__(self, row: dict):
-        read = lambda c, kind: np.frombuffer(row[c], dtype=kind)
-        self.block, at = row["block"], read("at", np.int32)
-        self.size = read("size", np.int64)  # tokens after the first end
-        whole = self.size + 1
-        self.symbol, self.lroot = read("symbol", np.int64)[at], read("lroot", np.float64)[at]
-        self.place = np.arange(len(at)) - np.repeat(np.cumsum(whole) - whole, whole)
-        self.train = np.repeat(read("train", np.uint8), whole)
-
-    @staticmethod
-    def row(block: int, places: list[np.ndarray], train: list[bool], symbol: np.ndarray, lroot: np.ndarray, end: float) -> dict:
-        """places: of the words of each text among symbol and lroot."""
-        size = np.array([len(p) + 1 for p in places], np.int64)
-        at = np.zeros(int(size.sum()) + len(size), np.int32)
-        inner = np.ones(len(at), bool)
-        ends = np.cumsum(size + 1)
-        inner[ends - 1] = inner[ends - size - 1] = False
-        at[inner] = np.concatenate([np.empty(0, np.int64), *places]) + 1
-        return {
-            "block": block, "size": size.tobytes(), "train": np.array(train, np.uint8).tobytes(), "at": at.tobytes(),
-            "symbol": np.append(np.int64(END), symbol.astype(np.int64)).tobytes(), "lroot": np.append(end, lroot.astype(np.float64)).tobytes(),
-        }
-
-    def codes(self, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For length 0, 1, ... the places that have as many symbols before them, and the codes of these contexts by place."""
-        code = np.zeros(len(self.symbol), np.int64)
-        for k in range(depth + 1):
-            if k:
-                code = code.copy()
-                code[k:] = _mix(code[k:], self.symbol[:-k])
-            yield np.flatnonzero(self.place >= max(k, 1)), code
+class _Symbols(dict):
+    """Word -> number in the block, in the order of their first places."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self) + 2
+        return i
 
-class _Answers:
-    """By the key of an entry or a context: its count (0 for a context) and its natural logarithm of P, or of the weight of the suffix."""
 
-    def __init__(self, rows: pa.Table | None):
-        empty = rows is None or not rows.num_rows
-        key, n, v = ((np.empty(0, t) for t in (np.int64, np.int64, np.float64)) if empty else (rows.column(c).to_numpy() for c in ("key", "n", "v")))
-        order = np.argsort(key)
-        self.key, self.n, self.v = key[order], n[order], v[order]
+def _save(uri: str, arrays: dict[str, np.ndarray], doc_id: pa.Array | None = None) -> None:
+    columns = {k: pa.array([_pack(v)], pa.large_binary()) for k, v in arrays.items()}
+    if doc_id is not None:
+        columns["doc_id"] = pa.ListArray.from_arrays(pa.array([0, len(doc_id)], pa.int32()), doc_id)
+    t = pa.table(columns)
+    with files.open_new(uri) as out, pa.ipc.new_file(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
 
-    def entries(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (0 where there is no entry) and values."""
-        at, hit = _find(self.key, key)
-        n, v = np.zeros(len(key), np.int64), np.full(len(key), np.nan)
-        n[hit], v[hit] = self.n[at[hit]], self.v[at[hit]]
-        return n, v
 
+def _load(uri: str) -> pa.Table:
+    with files.open_old(uri) as f:
+        return pa.ipc.open_file(f).read_all()
 
-_ASKED = "block long, owner int, fp binary, n binary"
-_REPLY = "block long, key long, n long, v double, owner int, bitmap binary"  # answers have no owner
-_SENT = "block long, key long, code long, n long, q double, singles long"  # for a context code is that of its suffix, n and q are null
 
+class _Block:
+    """The places of a block (each text's start, words and end) and what is known of them so far.
 
-class _Pairs:
-    """A block's distinct pairs of a context of length k and the next symbol; before: the answers for length k - 1."""
+    ``n[k]`` has by place the training count of the k + 1 symbols that end there; it is exact where it is at least 2 or
+    the place is live. ``live[k]`` are the places whose context of length k matters: it occurs twice and no shorter one
+    there has a single next symbol.
+    """
 
-    def __init__(self, b: _Block, k: int, before: _Answers | None):
-        for length, (places, codes) in enumerate(b.codes(k)):
-            if length == k - 1:
-                suffix = codes
-        if before is None:
-            q, can = b.lroot[places], np.ones(len(places), bool)
+    def __init__(self, paths: list[str]):
+        tables = [_load(p) for p in paths]
+        head = tables[0]
+        read = lambda t, c: _unpack(t.column(c)[0].as_py())
+        self.doc_id = head.column("doc_id")[0].values
+        self.hash, self.symbol, self.size = read(head, "hash").view(np.uint64), read(head, "symbol"), read(head, "size")
+        whole = self.size + 1
+        self.starts = np.cumsum(whole) - whole
+        self.place = np.arange(len(self.symbol)) - np.repeat(self.starts, whole)
+        self.train_texts = read(head, "train").astype(bool)
+        self.train = np.repeat(self.train_texts, whole)
+        self.n: list[np.ndarray] = []
+        self.live: list[np.ndarray] = []
+        self.kinds: list[np.ndarray] = []  # by length, of the distinct contexts of its live places, 0 if not retained
+        for t in tables[1:]:
+            if not self.n:
+                self.count = read(t, "n")  # by symbol
+                self._known(self.count[self.symbol])
+            else:
+                n = self._blank()
+                n[self.live[-1]] = read(t, "n")
+                self._known(n)
+            if "kinds" in t.column_names:
+                self.kinds.append(read(t, "kinds"))
+
+    def _blank(self) -> np.ndarray:
+        """Counts where nothing was asked: once at most, and as the context before, which has no other next symbol, where settled."""
+        n = self.train.astype(np.int64)
+        n[self.settled] = self.n[-1][self.settled - 1]
+        return n
+
+    def _known(self, n: np.ndarray) -> None:
+        """Takes the next counts and finds the places that are live for contexts one longer."""
+        k = len(self.n)
+        self.n.append(n)
+        if not k:
+            self.settled = np.empty(0, np.int64)
+            at = np.flatnonzero(self.place >= 1)
         else:
-            n, v = before.entries(_entry_keys(suffix, b.symbol))
-            places = places[n[places - 1] >= MIN_CONTEXT]  # the context as an entry of a shorter one
-            q, can = v[places], n[places] >= MIN_ENTRY
-        code = codes[places]
-        self.key, first, number = np.unique(_entry_keys(code, b.symbol[places]), return_index=True, return_inverse=True)
-        self.n = np.bincount(number, b.train[places], len(self.key)).astype(np.int64)
-        self.code, self.q = code[first], q[first]
-        self.can = can[first]  # else the pair is rarer than an entry, as its suffix is
-        self.context, at, self.of = np.unique(self.code, return_index=True, return_inverse=True)
-        self.suffix = suffix[places[first[at]]]
-
-    def owned(self, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs that others may have as well, their owners in ascending order, and their fingerprints."""
-        pairs = np.flatnonzero(self.can)
-        high = self.key[pairs].view(np.uint64) >> np.uint64(32)
-        owner = (high * np.uint64(owners) >> np.uint64(32)).astype(np.int32)
-        order = np.argsort(owner, kind="stable")
-        return pairs[order], owner[order], self.key[pairs[order]].astype(np.uint32)
-
-
-def _read(rows: pa.Table, before: bool) -> tuple[dict[int, bytes], _Answers | None]:
-    maps, keys = rows.filter(pc.is_valid(rows.column("owner"))), rows.filter(pc.is_null(rows.column("owner")))
-    return dict(zip(maps.column("owner").to_pylist(), maps.column("bitmap").to_pylist(), strict=True)), _Answers(keys) if before else None
-
-
-def _ask(k: int, owners: int):
-    def run(state: pa.Table, answers: pa.Table | None = None) -> pa.Table:
-        out = []
-        for row in state.to_pylist():
-            p = _Pairs(_Block(row), k, None if answers is None else _Answers(answers))
-            pairs, owner, fp = p.owned(owners)
-            n = np.minimum(p.n[pairs], MIN_ENTRY).astype(np.uint8)
-            ends = np.searchsorted(owner, np.arange(owners + 1))
-            out += [(row["block"], o, fp[x:y].tobytes(), n[x:y].tobytes()) for o, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({"block": pa.array(cols[0], pa.int64()), "owner": pa.array(cols[1], pa.int32()), "fp": pa.array(cols[2], pa.binary()), "n": pa.array(cols[3], pa.binary())})
-
-    if k == 1:
-        return lambda state: run(state)
-    return lambda state, answers: run(state, answers)
-
-
-def _own(rows: pa.Table) -> pa.Table:
-    """At an owner: for each block a bitmap over what it sent, set where the training texts may have it as often as an entry."""
-    parts = [np.frombuffer(x, np.uint32) for x in rows.column("fp").to_pylist()]
-    n = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8)
-    _, number = np.unique(np.concatenate(parts), return_inverse=True)
-    often = np.bincount(number, n)[number] >= MIN_ENTRY
-    maps = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum([len(x) for x in parts])[:-1])]
-    return pa.table({"block": rows.column("block"), "owner": rows.column("owner"), "bitmap": pa.array(maps, pa.binary())})
-
-
-def _send(k: int, owners: int):
-    """Pairs that may be entries, and contexts with the number of the block's other training pairs, which occur once in all."""
-
-    def one(row: dict, replies: pa.Table) -> pa.Table:
-        maps, before = _read(replies, k > 1)
-        p = _Pairs(_Block(row), k, before)
-        pairs, owner, _ = p.owned(owners)
-        often = np.zeros(len(p.key), bool)
-        ends = np.searchsorted(owner, np.arange(owners + 1))
-        for o, bits in maps.items():
-            often[pairs[ends[o] : ends[o + 1]]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: ends[o + 1] - ends[o]]
-        singles = np.bincount(p.of[~often], p.n[~often], len(p.context)).astype(np.int64)
-        m, c = int(often.sum()), len(p.context)
-        rows = np.flatnonzero(often)
-        rows = rows[np.argsort(p.of[rows], kind="stable")]  # by context, so that the files are small
-        q = np.concatenate([p.q[rows], np.full(c, np.nan)])
-        is_context = np.repeat([False, True], [m, c])
-        return pa.table({
-            "block": pa.array(np.full(m + c, row["block"], np.int64)), "key": pa.array(np.concatenate([p.key[rows], p.context])),
-            "code": pa.array(np.concatenate([p.code[rows], p.suffix])), "n": pa.array(np.concatenate([p.n[rows], np.zeros(c, np.int64)]), mask=is_context),
-            "q": pa.array(q, mask=np.isnan(q)), "singles": pa.array(np.concatenate([np.zeros(m, np.int64), singles]), mask=~is_context),
-        })
+            at = self.live[-1]
+            done = n[at] == self.n[k - 1][at - 1]
+            self.settled = np.concatenate([self.settled, at[done]])
+            at = at[~done & (self.place[at] > k)]
+        self.live.append(at[n[at - 1] >= 2])
+
+    def grams(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the symbols that end at these places."""
+        h = self.hash[self.symbol[at - length + 1]]
+        for back in range(length - 2, -1, -1):
+            h = _mix(h, self.hash[self.symbol[at - back]])
+        return h
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Live places whose sequence's count must be asked for, the distinct sequences in order, and their numbers by place."""
+        k, at = len(self.n), self.live[-1]
+        at = at[self.n[k - 1][at] > 0]
+        return at, *np.unique(self.grams(at, k + 1), return_inverse=True)
+
+    def learn(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the answers; returns the counts by live place, and for each distinct sequence a place of it."""
+        at, keys, number = self.asked()
+        live, n = self.live[-1], self._blank()
+        n[at] = total[number]
+        where = np.zeros(len(keys), np.int64)
+        where[number] = at
+        self._known(n)
+        return n[live], where
+
+    def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct contexts of the live places for length k in order, and their numbers by place."""
+        return np.unique(self.grams(self.live[k - 1] - 1, k), return_inverse=True)
+
+    def weigh(self, n_all: int, where: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the last length: its distinct contexts, and what this block's training texts add to their distinct next symbols and to their gain.
+
+        where: a place of each distinct sequence that was asked for; first: whether it counts here.
+        """
+        k = len(self.n) - 1
+        live = self.live[k - 1]
+        keys, number = self.contexts(k)
+        by_place = np.zeros(len(self.symbol), np.int64)
+        by_place[live] = number
+        kinds = np.bincount(by_place[where[first]], minlength=len(keys))
+        at = live[self.train[live]]
+        longer = np.log(self.n[k][at] / self.n[k - 1][at - 1])
+        shorter = np.log(self.n[k - 1][at] / (n_all if k == 1 else self.n[k - 2][at - 1]))
+        return keys, kinds, np.bincount(by_place[at], longer - shorter, len(keys))
+
+    def log_gain(self, n_all: int, types: int) -> np.ndarray:
+        """By text, how much more than the root's the logarithm (base 10) of its probability is."""
+        root = (self.n[0] + 1) / (n_all + types + 1)
+        q = root.copy()
+        for k, kinds in enumerate(self.kinds, 1):
+            live = self.live[k - 1]
+            t = kinds[self.contexts(k)[1]] if len(kinds) else np.zeros(len(live), np.int64)
+            live, t = live[t > 0], t[t > 0]
+            q[live] = (self.n[k][live] + t * q[live]) / (self.n[k - 1][live - 1] + t)
+        return np.add.reduceat(np.log10(q / root), self.starts) if len(self.starts) else np.zeros(0)
+
+
+def _messages(block: int, paths: list[str], owners: int, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, gain: np.ndarray) -> pa.Table:
+    """A row for each owner that gets something, and one at least. keys and contexts are in order."""
+    borders = np.array([_least_key(o, owners) for o in range(1, owners)], np.uint64)
+    a, b = (np.concatenate([[0], np.searchsorted(x, borders), [len(x)]]) for x in (keys, contexts))
+    rows = [
+        (block, paths, o, _pack_keys(keys[a[o] : a[o + 1]], _least_key(o, owners)), _pack(n[a[o] : a[o + 1]]), _pack_keys(contexts[b[o] : b[o + 1]], _least_key(o, owners)), _pack(kinds[b[o] : b[o + 1]]), gain[b[o] : b[o + 1]].tobytes())
+        for o in range(owners)
+        if a[o + 1] > a[o] or b[o + 1] > b[o] or o == block % owners
+    ]
+    kinds_of = (pa.int64(), pa.list_(pa.string()), pa.int32(), *[pa.binary()] * 5)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], names=[c.split()[0] for c in _MESSAGE.split(", ")])
+
+
+def _answer(rows: pa.Table, owners: int) -> pa.Table:
+    """At an owner: totals of what all blocks sent, in the order that each sent it."""
+    rows = rows.sort_by("block")
+    least = _least_key(rows.column("owner")[0].as_py(), owners)
+    column = lambda c: rows.column(c).to_pylist()
+
+    def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])[:-1].tolist()
+
+    keys, cuts = joined([_unpack_keys(x, least) for x in column("keys")])
+    own = np.concatenate([_unpack(x) for x in column("n")])
+    distinct, number = np.unique(keys, return_inverse=True)
+    total = np.bincount(number, own, len(distinct)).astype(np.int64)
+    lead = np.full(len(distinct), -1)
+    learned = np.flatnonzero(own)[::-1]
+    lead[number[learned]] = learned  # of repeated places the last one written, so the first, stays
+    first = np.zeros(len(keys), bool)
+    first[lead[lead >= 0]] = True
+
+    contexts, context_cuts = joined([_unpack_keys(x, least) for x in column("contexts")])
+    distinct_contexts, of = np.unique(contexts, return_inverse=True)
+    kinds = np.bincount(of, np.concatenate([_unpack(x) for x in column("kinds")]), len(distinct_contexts)).astype(np.int64)
+    gain = np.bincount(of, np.concatenate([np.frombuffer(x) for x in column("gain")]), len(distinct_contexts))
+    kinds[gain < PENALTY * kinds] = 0
+
+    split = lambda a, at: np.split(a, at)
+    sums = np.zeros((2, rows.num_rows), np.int64)
+    sums[:, 0] = total.sum(), (total > 0).sum()
+    return pa.table({
+        "block": rows.column("block"), "files": rows.column("files"), "owner": rows.column("owner"),
+        "n": pa.array([_pack(x) for x in split(total[number], cuts)], pa.binary()),
+        "first": pa.array([np.packbits(x).tobytes() for x in split(first, cuts)], pa.binary()),
+        "kinds": pa.array([_pack(x) for x in split(kinds[of], context_cuts)], pa.binary()),
+        "tokens": pa.array(sums[0]), "types": pa.array(sums[1]),
+    })
 
-    none = pa.table({"block": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "code": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "q": pa.array([], pa.float64()), "singles": pa.array([], pa.int64())})
-    return lambda state, replies: pa.concat_tables([none, *(one(row, replies) for row in state.to_pylist())])
 
+class _Replies:
+    """What a block was told by all owners."""
 
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As materialize, with the path."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("owner")
+        self.files = rows.column("files")[0].as_py()
+        self.block = rows.column("block")[0].as_py()
+        n = [_unpack(x) for x in rows.column("n").to_pylist()]
+        self.n = np.concatenate(n)
+        self.first = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(rows.column("first").to_pylist(), n, strict=True)]).astype(bool)
+        self.kinds = np.concatenate([_unpack(x) for x in rows.column("kinds").to_pylist()])
 
 
-def grow(state: DataFrame, depth: int, unkept: bool = False) -> list[tuple[DataFrame, DataFrame]]:
-    """The tree, length by length: what was learned (key, n, v, suffix) and the same for each block that asked.
+_NONE = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
 
-    Of an entry v is the natural logarithm of P, from the longest kept suffix of its context; of a kept context, whose
-    n is 0, that of the weight of its suffix. unkept: with contexts that are not kept, whose v is 0.
-    """
-    out, owners = [], partitions(state.sparkSession)
-    for k in range(1, depth + 1):
-        blocks = state.groupBy("block")
-        if k == 1:
-            asked = blocks.applyInArrow(_ask(k, owners), _ASKED)
+
+def _tokens(directory: str, owners: int, block_bytes: int):
+    """Cuts a partition into blocks: writes their tokens and sends their distinct words."""
+
+    def block(number: int, doc_id: list[pa.Array], texts: list[str], train: list[bool]) -> Iterator[pa.RecordBatch]:
+        symbols, parts = _Symbols(), []
+        for t in texts:
+            words = words_of(t)
+            parts.append(np.fromiter(map(symbols.__getitem__, words), np.int64, len(words)))
+        size = np.array([len(p) + 1 for p in parts], np.int64)
+        ends = np.cumsum(size + 1)
+        at = np.zeros(int(ends[-1]), np.int64)
+        inner = np.ones(len(at), bool)
+        inner[ends - 1] = inner[ends - size - 1] = False
+        at[inner], at[ends - 1] = np.concatenate(parts), END
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, (b"\n\n", b"\n", *symbols)), np.uint64, len(symbols) + 2)  # no word has a line feed
+        learned = np.repeat(np.array(train, bool), size + 1)
+        learned[ends - size - 1] = False  # the start is no token
+        path = files.new_name(directory, number, ".tokens")
+        _save(path, {"hash": hashes, "symbol": at, "size": size, "train": np.array(train, np.uint64)}, pa.concat_arrays(doc_id))
+        order = np.argsort(hashes[1:]) + 1
+        n = np.bincount(at[learned], minlength=len(hashes))[order]
+        yield from _messages(number, [path], owners, hashes[order], n, *_NONE).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, piece = TaskContext.get().partitionId(), 0
+        doc_id, texts, train, held = [], [], [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc_id.append(b.column("doc_id"))
+            texts += b.column("text").to_pylist()
+            train += b.column("train").to_pylist()
+            held += b.column("text").nbytes
+            if held >= block_bytes:
+                yield from block(task << 24 | piece, doc_id, texts, train)
+                doc_id, texts, train, held, piece = [], [], [], 0, piece + 1
+        if texts:
+            yield from block(task << 24 | piece, doc_id, texts, train)
+
+    return run
+
+
+def _step(directory: str, owners: int, k: int, depth: int, n_all: int):
+    """Takes the counts of sequences of k + 1 symbols; asks for those one longer, and sends the contexts of length k."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        told = _Replies(rows)
+        path = files.new_name(directory, told.block, f".{k}")
+        if k == 0:
+            count = np.zeros(len(told.n) + 1, np.int64)
+            hashes = _unpack(_load(told.files[0]).column("hash")[0].as_py()).view(np.uint64)
+            count[np.argsort(hashes[1:]) + 1] = told.n
+            count[START] = count[END]
+            _save(path, {"n": count})
+            b = _Block([*told.files, path])
+            sent = _NONE
         else:
-            asked = blocks.cogroup(out[-1][1].groupBy("block")).applyInArrow(_ask(k, owners), _ASKED)
-        maps = asked.groupBy("owner").applyInArrow(_own, "block long, owner int, bitmap binary")
-        replies = maps.selectExpr("block", "cast(null as long) as key", "cast(null as long) as n", "cast(null as double) as v", "owner", "bitmap")
-        if k > 1:
-            replies = replies.unionByName(out[-1][1].selectExpr("block", "key", "n", "v", "cast(null as int) as owner", "cast(null as binary) as bitmap"))
-        asked, asked_path = _stored(blocks.cogroup(replies.groupBy("block")).applyInArrow(_send(k, owners), _SENT), f"asked-{k}")
-        # The columns are the same in both uses, so that the exchange is made once.
-        pairs = asked.filter("n IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"), F.min("code").alias("code"), F.max("q").alias("q")).filter("n > 0")
-        entry = F.col("n") >= MIN_ENTRY
-        parts = pairs.select("code", F.col("n").alias("total"), F.lit(1).cast("long").alias("kinds"), F.when(entry, F.col("n")).otherwise(0).alias("held"), F.when(entry, F.exp("q")).otherwise(0.0).alias("qs"))
-        parts = parts.unionByName(asked.filter("singles > 0").select(F.col("key").alias("code"), F.col("singles").alias("total"), F.col("singles").alias("kinds"), F.lit(0).cast("long").alias("held"), F.lit(0.0).alias("qs")))
-        totals = parts.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("total", "kinds", "held", "qs")]).filter((F.col("total") >= MIN_CONTEXT) & (F.col("held") > 0))
-        back = (F.col("kinds") + F.col("total") - F.col("held")) / (F.col("total") + F.col("kinds"))
-        found = pairs.filter(entry).join(totals, "code").withColumn("back", back)
-        found = found.withColumn("p", F.col("n") / (F.col("total") + F.col("kinds")) + F.col("back") * F.exp("q"))
-        found, found_path = _stored(found.select("code", "key", "n", "q", "p", "back", "total", (F.col("held") / (F.col("total") + F.col("kinds")) + F.col("back") * F.col("qs")).alias("ps"), "qs"), f"entries-{k}")
-        rest = F.greatest(1 - F.col("ps"), F.lit(1e-9))
-        kl = F.col("kl") + F.when(1 - F.col("ps") > 1e-9, rest * F.log(rest / F.greatest(1 - F.col("qs"), F.lit(1e-9)))).otherwise(0.0)
-        kept = (
-            found.groupBy("code").agg(F.sum(F.col("p") * (F.log("p") - F.col("q"))).alias("kl"), F.max("ps").alias("ps"), F.max("qs").alias("qs"), F.max("back").alias("back"), F.max("total").alias("total"))
-            .withColumn("kl", kl).withColumn("kept", (F.col("kl") >= MIN_KL) & (F.col("kl") * F.col("total") >= MIN_EVIDENCE))
-            .filter(F.col("kept") | F.lit(unkept)).select("code", "kept", F.when(F.col("kept"), F.log("back")).otherwise(0.0).alias("v"))
-        )
-        kept, kept_path = _stored(kept, f"contexts-{k}")
-        entries = found.join(kept.select("code", "kept"), "code", "left").select("key", "n", F.when(F.col("kept"), F.log("p")).otherwise(F.col("q")).alias("v"))
-        learned = entries.unionByName(kept.select(F.col("code").alias("key"), F.lit(0).cast("long").alias("n"), "v"))
-        answers = materialize(asked.select("block", "key", F.when(F.col("n").isNull(), F.col("code")).alias("suffix")).join(learned, "key"), f"answers-{k}")
-        for path in (asked_path, found_path, kept_path):
-            drop_dir(state.sparkSession, path)
-        out.append((answers.select("key", "n", "v", "suffix").dropDuplicates(["key"]), answers.select("block", "key", "n", "v")))
-    return out
-
-
-def _endings(totals: DataFrame) -> DataFrame:
-    @F.pandas_udf("binary")
-    def ends(words):
-        return words.map(ending)
-
-    return totals.filter(F.col("n").between(1, MIN_WORD - 1)).groupBy(ends("word").alias("word")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).orderBy("word")
-
-
-def ending_table(totals: DataFrame, n_all: int, v_all: int, texts: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Endings with their symbols; by symbol (end, rest, endings) P_root and the training count."""
-    rows = _endings(totals).toArrow()
-    word, n, types = rows.column("word").to_pylist(), *(rows.column(c).to_numpy().astype(np.float64) for c in ("n", "types"))
-    own = n >= MIN_WORD
-    n, types = np.concatenate([[texts, n[~own].sum()], n[own]]), np.concatenate([[0, types[~own].sum()], types[own]])
-    return {w: i + 2 for i, w in enumerate(w for w, o in zip(word, own, strict=True) if o)}, (n + types + 1) / (n_all + v_all + 1), n
-
-
-def symbol_table(totals: DataFrame, n_all: int, v_all: int, texts: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """Frequent words and endings with their symbols, in memory; by symbol P_root and the training count."""
-    given, root, n = ending_table(totals, n_all, v_all, texts)
-    words = totals.filter(F.col("n") >= MIN_WORD).orderBy("word").toArrow()
-    word_n = words.column("n").to_numpy().astype(np.float64)
-    given |= {w: i + len(root) for i, w in enumerate(words.column("word").to_pylist())}
-    return given, np.concatenate([root, (word_n + 1) / (n_all + v_all + 1)]), np.concatenate([n, word_n])
-
-
-def train(texts: DataFrame, given: dict[bytes, int], root: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> Tree:
-    """The tree of a small input, in memory; score() never collects it."""
-    tree = Tree(root)
-    if not n.sum():
-        return tree
-    lroot = np.log(root)
-
-    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, b in enumerate(batches):
-            symbols = [[given.get(w, given.get(ending(w), REST)) for w in words_of(t)] for t in b.column("text").to_pylist()]
-            places = [np.array(x, np.int64) for x in symbols]
-            yield pa.RecordBatch.from_pylist([_Block.row(i, places, [True] * len(places), np.arange(len(root)), lroot, lroot[END])], schema=pa.schema([(c.split()[0], pa.int64() if c.startswith("block") else pa.binary()) for c in _STATE.split(", ")]))
-
-    levels = grow(materialize(texts.select("text").repartition(1).mapInArrow(state, _STATE), "tokens"), depth, unkept=True)
-    state_of: dict[int, int] = {}  # of the longest kept suffix, by context
-    for learned, _ in levels:
-        rows = learned.toArrow()
-        key, count, value, suffix = (rows.column(c).to_numpy() for c in ("key", "n", "v", "suffix"))
-        for i in np.flatnonzero(count == 0).tolist():
-            parent = state_of.get(int(suffix[i]), 0)
-            if value[i] < 0:
-                tree.codes, tree.parent, tree.back = np.append(tree.codes, key[i]), np.append(tree.parent, parent), np.append(tree.back, value[i])
-                parent = len(tree.codes) - 1
-            state_of[int(key[i])] = parent
-        contexts = count == 0
-        order = np.argsort(keys := np.append(tree.keys, key[~contexts]))
-        tree.keys, tree.values = keys[order], np.append(tree.values, value[~contexts])[order]
-    return tree
-
-
-def _block_words(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    seen: Counter = Counter()
-    learned: Counter = Counter()
-    for text, train_it in zip(rows.column("text").to_pylist(), rows.column("train").to_pylist(), strict=True):
-        (learned if train_it else seen).update(words_of(text))
-    n = len(learned)
-    rest = [w for w in seen if w not in learned]
-    return pa.table({
-        "block": pa.array(np.full(n + len(rest), key[0].as_py(), np.int64)),
-        "word": pa.array([*learned, *rest], pa.binary()),
-        "n": pa.array([*learned.values(), *([0] * len(rest))], pa.int64()),
-    })
+            b = _Block(told.files)
+            n, where = b.learn(told.n)
+            sent = b.weigh(n_all, where, told.first)
+            _save(path, {"n": n} | ({"kinds": told.kinds} if k > 1 else {}))
+        keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        if k < depth:
+            at, keys, number = b.asked()
+            n = np.bincount(number, b.train[at], len(keys)).astype(np.int64)
+        return _messages(told.block, [*told.files, path], owners, keys, n, *sent)
+
+    return run
+
+
+def _scores(n_all: int, types: int):
+    def run(rows: pa.Table) -> pa.Table:
+        told = _Replies(rows)
+        if len(told.files) == 1:  # the tree is its root
+            count = np.zeros(len(told.n) + 1, np.int64)
+            b = _Block(told.files)
+            count[np.argsort(b.hash[1:]) + 1] = told.n
+            b._known(count[b.symbol])
+        else:
+            b = _Block(told.files)
+            b.kinds.append(told.kinds)
+        token = b.place > 0
+        base = np.add.reduceat(np.where(token, np.log10((b.n[0] + 1) / (n_all + types + 1)), 0.0), b.starts)
+        return pa.table({
+            "doc_id": b.doc_id, "train": pa.array(b.train_texts), "n_tokens": pa.array(b.size),
+            "n_known": pa.array(np.add.reduceat((token & (b.n[0] > 0)).astype(np.int64), b.starts)),
+            "train_tokens": pa.array(np.full(len(b.size), n_all, np.int64)), "base_score": pa.array(base), "score": pa.array(base + b.log_gain(n_all, types)),
+        })
+
+    return run
 
 
 def score(docs: DataFrame, train_on: Column, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per row of docs: doc_id, train, n_tokens, n_known, train_tokens, base_score, score. train_on: which rows to learn from."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("train").alias("texts")).first()
-    blocks = max(2 * partitions(spark), math.ceil((size["bytes"] or 0) / BLOCK_BYTES))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    sent, sent_path = _stored(dealt.select("block", "text", "train").groupBy("block").applyInArrow(_block_words, "block long, word binary, n long"), "block-words")
-    totals, totals_path = _stored(sent.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    seen = totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    texts = int(size["texts"] or 0)
-    n_all, v_all = int(seen["n"]) + texts, int(seen["v"]) + (texts > 0)
-    given, root, _ = ending_table(totals, n_all, v_all, texts)
-    model = spark.sparkContext.broadcast((given, np.log(root)))
-    below = n_all + v_all + 1
-    end_base = math.log10((texts + 1) / below)
-    answers = sent.select("block", "word").join(totals, "word").select("block", "word", "n", F.xxhash64("word").alias("hash"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    owners = max(partitions(spark), math.ceil(size / OWNER_BYTES))
+    block_bytes = min(BLOCK_BYTES, max(1_000_000, size // partitions(spark)))
+    folder = fresh_dir(spark, "suffix-tree")
+    old = None
+
+    def answered(messages: DataFrame, name: str) -> DataFrame:
+        nonlocal old
+        path = fresh_dir(spark, name)
+        messages.groupBy("owner").applyInArrow(lambda rows: _answer(rows, owners), _REPLY).write.parquet(path)
+        if old:
+            drop_dir(spark, old)
+        old = path
+        return spark.read.schema(_REPLY).parquet(path)
+
+    def by_block(replies: DataFrame):
+        # The work of a block is in its files, not in the size of its replies: small partitions are not to be merged.
+        return replies.repartition(tasks, "block").groupBy("block")
+
+    replies = answered(rows.mapInArrow(_tokens(folder, owners, block_bytes), _MESSAGE), "words")
+    seen = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), F.countDistinct("block")).first()
+    n_all, types, tasks = int(seen[0]), int(seen[1]), max(1, min(int(seen[2]), 4 * owners))
+    if n_all and depth:
+        for k in range(depth + 1):
+            replies = answered(by_block(replies).applyInArrow(_step(folder, owners, k, depth, n_all), _MESSAGE), f"replies-{k}")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def tokens(key: tuple[pa.Scalar, ...], texts_in: pa.Table, words: pa.Table) -> pa.Table:
-        """One row: the block's tokens, and by text what needs no tree."""
-        endings, lroot = model.value
-        n = words.column("n").to_numpy()
-        number = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-        hashes, logs = words.column("hash").to_numpy(), np.log((n + 1) / below)
-        base, known = np.log10((n + 1) / below), n > 0
-
-        words_in = list(number)
-        symbol = hashes.copy()
-        rare = np.flatnonzero(n < MIN_WORD)
-        symbol[rare] = [endings.get(ending(words_in[i]), REST) for i in rare.tolist()]
-        logs[rare] = lroot[symbol[rare]]
-        texts_of = (words_of(t) for t in texts_in.column("text").to_pylist())
-        places = [np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)) for parts in texts_of]
-        row = _Block.row(key[0].as_py(), places, texts_in.column("train").to_pylist(), symbol, logs, lroot[END])
-        out = {c: pa.array([row[c]], pa.int64() if c == "block" else pa.binary()) for c in row}
-        lists = {"doc_id": texts_in.column("doc_id"), "known": pa.array([int(known[p].sum()) + (texts > 0) for p in places], pa.int64()), "base": pa.array([float(base[p].sum()) + end_base for p in places], pa.float64())}
-        for c, v in lists.items():
-            v = pa.concat_arrays(v.chunks) if isinstance(v, pa.ChunkedArray) else v
-            out[c] = pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
-        return pa.table(out)
-
-    state = (
-        dealt.select("block", "doc_id", "text", "train")
-        .groupBy("block")
-        .cogroup(answers.groupBy("block"))
-        .applyInArrow(tokens, f"{_STATE}, doc_id array<{id_type}>, known array<long>, base array<double>")
-    )
-    state = materialize(state, "tokens")
-    for path in (sent_path, totals_path):
-        drop_dir(spark, path)
-    levels = grow(state.select(*[c.split()[0] for c in _STATE.split(", ")]), depth) if texts else []
-    longest = len(levels)
-    told = reduce(DataFrame.unionByName, [a for _, a in levels]) if levels else spark.createDataFrame([], "block long, key long, n long, v double")
-
-    def add_up(state: pa.Table, answers: pa.Table) -> pa.Table:
-        known, out = _Answers(answers), []
-        for i, row in enumerate(state.select([c.split()[0] for c in _STATE.split(", ")]).to_pylist()):
-            b = _Block(row)
-            ratio = np.zeros(len(b.symbol))
-            frequent = None  # by place, as an entry of the contexts one shorter
-            for k, (places, codes) in enumerate(b.codes(longest)):
-                if not k:
-                    continue
-                if frequent is not None:
-                    places = places[frequent[places - 1]]
-                n, v = known.entries(_entry_keys(codes[places], b.symbol[places]))
-                _, back = known.entries(codes[places])
-                ratio[places] = np.where(n > 0, v - b.lroot[places], ratio[places] + np.nan_to_num(back))
-                frequent = np.zeros(len(b.symbol), bool)
-                frequent[places] = n >= MIN_CONTEXT
-            starts = np.cumsum(b.size + 1) - (b.size + 1)
-            gain = np.add.reduceat(ratio, starts) / math.log(10) if len(starts) else np.zeros(0)
-            base = row_of(state, "base", i)
-            train_it = pa.array(np.frombuffer(row["train"], np.uint8).astype(bool))
-            out.append(pa.table({
-                "doc_id": row_of(state, "doc_id", i), "train": train_it, "n_tokens": pa.array(b.size), "n_known": row_of(state, "known", i),
-                "train_tokens": pa.array(np.full(len(b.size), n_all, np.int64)), "base_score": base, "score": pa.array(base.to_numpy() + gain),
-            }))
-        return pa.concat_tables(out)
-
-    def row_of(state: pa.Table, column: str, i: int) -> pa.Array:
-        return state.column(column)[i].values
-
-    return (
-        state.groupBy("block")
-        .cogroup(told.groupBy("block"))
-        .applyInArrow(add_up, f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    )
+    return by_block(replies).applyInArrow(_scores(n_all, types), f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -302,21 +302,91 @@ def test_scores_against_plain_sums(spark):
     assert model > base
 
 
-def test_scores_are_probabilities(spark):
-    """Over a closed vocabulary the next-token probabilities of every state add up to 1."""
+def plain_tree(texts, depth):
+    """Counts of all contexts and which of them are retained, with dictionaries; returns P(word | the words before)."""
+    n, follow, base = Counter(), {}, Counter()
+    for words in texts:
+        x = [b"<s>", *words, b"</s>"]
+        base.update(x[1:])
+        for i in range(1, len(x)):
+            for k in range(1, min(i, depth) + 1):
+                follow.setdefault(tuple(x[i - k : i]), Counter())[x[i]] += 1
+    n_all, types = sum(base.values()), len(base)
+    kept = set()
+    for s, after in follow.items():
+        n, shorter = sum(after.values()), follow[s[1:]] if s[1:] else base
+        below = sum(shorter.values())
+        gain = sum(c * (np.log(c / n) - np.log(shorter[w] / below)) for w, c in after.items())
+        if n >= 2 and gain >= suffix_tree.PENALTY * len(after):
+            kept.add(s)
+
+    def p(before, word):
+        q = (base[word] + 1) / (n_all + types + 1)
+        x = [b"<s>", *before]
+        for k in range(1, min(len(x), depth) + 1):
+            if (s := tuple(x[-k:])) in kept:
+                after = follow[s]
+                q = (after[word] + len(after) * q) / (sum(after.values()) + len(after))
+        return q
+
+    return p, kept, base
+
+
+def tree_rows():
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice("ab" if k % 2 else "cd") for k in range(40))) for i in range(60)]
-    texts = docs(spark, rows).select("text")
-    c = Counter(w for _, t in rows for w in [*t.encode().split(), b""])
-    n, v = sum(c.values()), len(c)
-    totals = spark.createDataFrame([(bytearray(w), k) for w, k in c.items() if w], "word binary, n long")
-    given, root, counts = suffix_tree.symbol_table(totals, n, v, len(rows))
-    tree = suffix_tree.train(texts, given, root, counts)
-    assert len(tree.parent) > 2
-    live = [0, *sorted(given.values())]  # the rest symbol stands for unseen words
-    for state in range(1, len(tree.parent)):
-        p = np.exp(tree.ratio(np.full(len(root), state), np.arange(len(root)))) * root
-        assert abs(p.sum() - 1) < 0.02 and (p[live] > 0).all()
+    words = [f"w{i}" for i in range(30)]
+    rows, base = [], [rng.choice(words) for _ in range(80)]
+    for i in range(60):
+        if i % 6 == 0:  # text of its own, else copies with edits: long contexts, some with one next symbol
+            base = [rng.choice(words[: 3 + i // 2]) for _ in range(80)]
+        rows.append((i, " ".join(rng.choice([*words, f"new{i}"]) if rng.random() < 0.07 else w for w in base)))
+    return [*rows, (200, rows[8][1]), (201, "only here"), (202, rows[9][1]), (300, ""), (301, None), (302, "W0 w1  W2")]
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3, 6])
+def test_scores_against_a_plain_tree(spark, monkeypatch, depth):
+    """Every score of the distributed tree, for training and held-out texts, over many blocks and owners."""
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 2000)
+    rows = tree_rows()
+    learned = lambda i: i % 7 != 2
+    got = suffix_tree.score(docs(spark, rows).repartition(3), F.col("doc_id") % 7 != 2, depth=depth).collect()
+    split = {i: (t or "").encode().lower().split() for i, t in rows}
+    p, kept, _ = plain_tree([w for i, w in split.items() if learned(i)], depth)
+    assert {len(s) for s in kept} == set(range(1, depth + 1)) or depth == 6 and max(map(len, kept)) >= 4
+    for r in got:
+        x = [*split[r.doc_id], b"</s>"]
+        assert abs(r.score - sum(np.log10(p(x[:i], w)) for i, w in enumerate(x))) < 1e-9
+    assert len(got) == len(rows)
+
+
+def test_scores_are_probabilities(spark):
+    """After any words the probabilities of all known words, the end and one unseen word add up to 1."""
+    rows = tree_rows()
+    _, _, base = plain_tree([(t or "").encode().lower().split() for _, t in rows], 1)
+    words = [w.decode() for w in base if w != b"</s>"]
+    asked = [rows[1][1].split()[:j] for j in (0, 1, 2, 7, 40)] + [["unheard", "of"], rows[1][1].split()[:9] + ["unheard"]]
+    extra = [(1000 + 1000 * j + i, " ".join([*before, w])) for j, before in enumerate(asked) for i, w in enumerate([*words, "quite-unseen"])]
+    extra += [(900 + j, " ".join(before)) for j, before in enumerate(asked)]
+    # A text's score has its end as well: P(word) is that of the prefix with the word, both without their ends.
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs(spark, rows + extra), F.col("doc_id") < 900).collect()}
+    p, _, _ = plain_tree([(t or "").encode().lower().split() for _, t in rows], suffix_tree.DEPTH)
+    for j, before in enumerate(asked):
+        x = [w.encode() for w in before]
+        end = 10 ** (got[900 + j] - sum(np.log10(p(x[:i], w)) for i, w in enumerate(x)))
+        total = end
+        for i, w in enumerate([*words, "quite-unseen"]):
+            y = [*x, w.encode()]
+            total += 10 ** (got[1000 + 1000 * j + i] - np.log10(p(y, b"</s>")) - sum(np.log10(p(y[:m], v)) for m, v in enumerate(x)))
+        assert abs(total - 1) < 1e-9
+
+
+def test_copies_in_one_block_or_many(spark, monkeypatch):
+    """Half of all rows are one text: the same scores however the rows are cut into blocks."""
+    rows = [(i, LONG[:400] if i % 2 else f"text {i} of {i % 9}") for i in range(200)]
+    one = {r.doc_id: r.score for r in suffix_tree.score(docs(spark, rows).coalesce(1), F.lit(True)).collect()}
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 500)
+    many = {r.doc_id: r.score for r in suffix_tree.score(docs(spark, rows).repartition(9), F.lit(True)).collect()}
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-9 for i in one)
 
 
 def test_rare_contexts_count_in_a_large_corpus(spark):
