@@ -27,13 +27,13 @@ Only messages are shuffled, pre-aggregated by block, so a word or a text that fi
 the corpus is a row of each block's message. A block's tokens and counts are files in the shared
 folder, named anew by each attempt of a task; a reply names the files that belong to it.
 
-Memory: a task holds one block (about 100 bytes a token, BLOCK_BYTES of text) or what one owner was
+Memory: a task holds one block (about 120 bytes a token, BLOCK_BYTES of text) or what one owner was
 sent (the number of owners grows with the text, OWNER_BYTES). Nothing is broadcast.
 
 Defined results
 - null text counts as empty: it has the end token alone.
 - without training documents every term is log10(1) = 0.
-- rows may repeat, null ids included; words may have any length; words and sequences are known by 64-bit hashes; an empty table gives an empty result; other columns do not matter.
+- rows may repeat, null ids included; words may have any length. Words are known by 64-bit hashes, sequences by hashes of SPARE_BITS more bits than the text's size has, 64 at most: one in 2**SPARE_BITS or fewer meets another one. An empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ DEPTH = 5
 PENALTY = 2.0
 #: Most text of a block (less where there are fewer blocks than partitions), and text for each owner.
 BLOCK_BYTES, OWNER_BYTES = 14_000_000, 8_000_000
+SPARE_BITS = 24
 START, END = 0, 1  # symbols of a block; its words follow
 
 _MESSAGE = "block long, files array<string>, owner int, keys binary, n binary, contexts binary, kinds binary, gain binary"
@@ -88,9 +89,9 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def _least_key(owner: int, owners: int) -> np.uint64:
+def _least_key(owner: int, owners: int, bits: int) -> np.uint64:
     """Owners have equal ranges of keys."""
-    return np.uint64(-(-(owner << 64) // owners))
+    return np.uint64(-(-(owner << bits) // owners))
 
 
 def _pack_keys(sorted_keys: np.ndarray, least: np.uint64) -> bytes:
@@ -124,38 +125,43 @@ def _load(uri: str) -> pa.Table:
         return pa.ipc.open_file(f).read_all()
 
 
+def _array(t: pa.Table, column: str) -> np.ndarray:
+    return _unpack(t.column(column)[0].as_py())
+
+
 class _Block:
     """The places of a block (each text's start, words and end) and what is known of them so far.
 
     ``n[k]`` has by place the training count of the k + 1 symbols that end there; it is exact where it is at least 2 or
-    the place is live. ``live[k]`` are the places whose context of length k matters: it occurs twice and no shorter one
-    there has a single next symbol.
+    the place is live. ``live[k]`` are the places whose context of length k + 1 matters: it occurs twice and no shorter
+    one there has a single next symbol. Only the last ones are held.
     """
 
-    def __init__(self, paths: list[str]):
-        tables = [_load(p) for p in paths]
-        head = tables[0]
-        read = lambda t, c: _unpack(t.column(c)[0].as_py())
+    def __init__(self, paths: list[str], bits: int):
+        head = _load(paths[0])
+        self.later, self.shift = paths[1:], np.uint64(64 - bits)
         self.doc_id = head.column("doc_id")[0].values
-        self.hash, self.symbol, self.size = read(head, "hash").view(np.uint64), read(head, "symbol"), read(head, "size")
+        self.hash, self.symbol, self.size = _array(head, "hash").view(np.uint64), _array(head, "symbol").astype(np.int32), _array(head, "size")
         whole = self.size + 1
         self.starts = np.cumsum(whole) - whole
-        self.place = np.arange(len(self.symbol)) - np.repeat(self.starts, whole)
-        self.train_texts = read(head, "train").astype(bool)
+        self.place = (np.arange(len(self.symbol)) - np.repeat(self.starts, whole)).astype(np.int32)
+        self.train_texts = _array(head, "train").astype(bool)
         self.train = np.repeat(self.train_texts, whole)
-        self.n: list[np.ndarray] = []
-        self.live: list[np.ndarray] = []
-        self.kinds: list[np.ndarray] = []  # by length, of the distinct contexts of its live places, 0 if not retained
-        for t in tables[1:]:
-            if not self.n:
-                self.count = read(t, "n")  # by symbol
-                self._known(self.count[self.symbol])
+        self.n: list[np.ndarray | None] = []
+        self.live: list[np.ndarray | None] = []
+
+    def levels(self) -> Iterator[int]:
+        """Reads what is known of sequences, length by length."""
+        for path in self.later:
+            n = _array(_load(path), "n")
+            if self.n:
+                known = self._blank()
+                known[self.live[-1]] = n
+                n = known
             else:
-                n = self._blank()
-                n[self.live[-1]] = read(t, "n")
-                self._known(n)
-            if "kinds" in t.column_names:
-                self.kinds.append(read(t, "kinds"))
+                n = n[self.symbol]
+            self.known(n)
+            yield len(self.n) - 1
 
     def _blank(self) -> np.ndarray:
         """Counts where nothing was asked: once at most, and as the context before, which has no other next symbol, where settled."""
@@ -163,26 +169,30 @@ class _Block:
         n[self.settled] = self.n[-1][self.settled - 1]
         return n
 
-    def _known(self, n: np.ndarray) -> None:
+    def known(self, n: np.ndarray) -> None:
         """Takes the next counts and finds the places that are live for contexts one longer."""
         k = len(self.n)
         self.n.append(n)
         if not k:
-            self.settled = np.empty(0, np.int64)
-            at = np.flatnonzero(self.place >= 1)
+            self.settled = np.empty(0, np.int32)
+            at = np.flatnonzero(self.place >= 1).astype(np.int32)
         else:
             at = self.live[-1]
             done = n[at] == self.n[k - 1][at - 1]
             self.settled = np.concatenate([self.settled, at[done]])
             at = at[~done & (self.place[at] > k)]
         self.live.append(at[n[at - 1] >= 2])
+        if k > 2:
+            self.n[k - 3] = None
+        if k > 1:
+            self.live[k - 2] = None
 
     def grams(self, at: np.ndarray, length: int) -> np.ndarray:
         """Hashes of the symbols that end at these places."""
-        h = self.hash[self.symbol[at - length + 1]]
+        h = self.hash[self.symbol[at - (length - 1)]]
         for back in range(length - 2, -1, -1):
             h = _mix(h, self.hash[self.symbol[at - back]])
-        return h
+        return h >> self.shift
 
     def asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Live places whose sequence's count must be asked for, the distinct sequences in order, and their numbers by place."""
@@ -195,9 +205,9 @@ class _Block:
         at, keys, number = self.asked()
         live, n = self.live[-1], self._blank()
         n[at] = total[number]
-        where = np.zeros(len(keys), np.int64)
+        where = np.zeros(len(keys), np.int32)
         where[number] = at
-        self._known(n)
+        self.known(n)
         return n[live], where
 
     def contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +222,7 @@ class _Block:
         k = len(self.n) - 1
         live = self.live[k - 1]
         keys, number = self.contexts(k)
-        by_place = np.zeros(len(self.symbol), np.int64)
+        by_place = np.zeros(len(self.symbol), np.int32)
         by_place[live] = number
         kinds = np.bincount(by_place[where[first]], minlength=len(keys))
         at = live[self.train[live]]
@@ -220,24 +230,23 @@ class _Block:
         shorter = np.log(self.n[k - 1][at] / (n_all if k == 1 else self.n[k - 2][at - 1]))
         return keys, kinds, np.bincount(by_place[at], longer - shorter, len(keys))
 
-    def log_gain(self, n_all: int, types: int) -> np.ndarray:
-        """By text, how much more than the root's the logarithm (base 10) of its probability is."""
-        root = (self.n[0] + 1) / (n_all + types + 1)
-        q = root.copy()
-        for k, kinds in enumerate(self.kinds, 1):
-            live = self.live[k - 1]
-            t = kinds[self.contexts(k)[1]] if len(kinds) else np.zeros(len(live), np.int64)
+    def smoothed(self, q: np.ndarray, kinds: np.ndarray) -> None:
+        """Moves probabilities by place on to the retained contexts of the last length. kinds: by distinct context, 0 if it is not retained."""
+        k = len(self.n) - 1
+        live = self.live[k - 1]
+        if len(live):
+            t = kinds[self.contexts(k)[1]]
             live, t = live[t > 0], t[t > 0]
             q[live] = (self.n[k][live] + t * q[live]) / (self.n[k - 1][live - 1] + t)
-        return np.add.reduceat(np.log10(q / root), self.starts) if len(self.starts) else np.zeros(0)
 
 
-def _messages(block: int, paths: list[str], owners: int, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, gain: np.ndarray) -> pa.Table:
+def _messages(block: int, paths: list[str], owners: int, bits: int, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, gain: np.ndarray) -> pa.Table:
     """A row for each owner that gets something, and one at least. keys and contexts are in order."""
-    borders = np.array([_least_key(o, owners) for o in range(1, owners)], np.uint64)
+    least = [_least_key(o, owners, bits) for o in range(owners)]
+    borders = np.array(least[1:], np.uint64)
     a, b = (np.concatenate([[0], np.searchsorted(x, borders), [len(x)]]) for x in (keys, contexts))
     rows = [
-        (block, paths, o, _pack_keys(keys[a[o] : a[o + 1]], _least_key(o, owners)), _pack(n[a[o] : a[o + 1]]), _pack_keys(contexts[b[o] : b[o + 1]], _least_key(o, owners)), _pack(kinds[b[o] : b[o + 1]]), gain[b[o] : b[o + 1]].tobytes())
+        (block, paths, o, _pack_keys(keys[a[o] : a[o + 1]], least[o]), _pack(n[a[o] : a[o + 1]]), _pack_keys(contexts[b[o] : b[o + 1]], least[o]), _pack(kinds[b[o] : b[o + 1]]), gain[b[o] : b[o + 1]].astype(np.float32).tobytes())
         for o in range(owners)
         if a[o + 1] > a[o] or b[o + 1] > b[o] or o == block % owners
     ]
@@ -245,10 +254,10 @@ def _messages(block: int, paths: list[str], owners: int, keys: np.ndarray, n: np
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], names=[c.split()[0] for c in _MESSAGE.split(", ")])
 
 
-def _answer(rows: pa.Table, owners: int) -> pa.Table:
+def _answer(rows: pa.Table, owners: int, bits: int) -> pa.Table:
     """At an owner: totals of what all blocks sent, in the order that each sent it."""
     rows = rows.sort_by("block")
-    least = _least_key(rows.column("owner")[0].as_py(), owners)
+    least = _least_key(rows.column("owner")[0].as_py(), owners, bits)
     column = lambda c: rows.column(c).to_pylist()
 
     def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
@@ -267,7 +276,7 @@ def _answer(rows: pa.Table, owners: int) -> pa.Table:
     contexts, context_cuts = joined([_unpack_keys(x, least) for x in column("contexts")])
     distinct_contexts, of = np.unique(contexts, return_inverse=True)
     kinds = np.bincount(of, np.concatenate([_unpack(x) for x in column("kinds")]), len(distinct_contexts)).astype(np.int64)
-    gain = np.bincount(of, np.concatenate([np.frombuffer(x) for x in column("gain")]), len(distinct_contexts))
+    gain = np.bincount(of, np.concatenate([np.frombuffer(x, np.float32) for x in column("gain")]), len(distinct_contexts))
     kinds[gain < PENALTY * kinds] = 0
 
     split = lambda a, at: np.split(a, at)
@@ -319,7 +328,7 @@ def _tokens(directory: str, owners: int, block_bytes: int):
         _save(path, {"hash": hashes, "symbol": at, "size": size, "train": np.array(train, np.uint64)}, pa.concat_arrays(doc_id))
         order = np.argsort(hashes[1:]) + 1
         n = np.bincount(at[learned], minlength=len(hashes))[order]
-        yield from _messages(number, [path], owners, hashes[order], n, *_NONE).to_batches()
+        yield from _messages(number, [path], owners, 64, hashes[order], n, *_NONE).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, piece = TaskContext.get().partitionId(), 0
@@ -340,22 +349,28 @@ def _tokens(directory: str, owners: int, block_bytes: int):
     return run
 
 
-def _step(directory: str, owners: int, k: int, depth: int, n_all: int):
+def _word_counts(told: _Replies, hashes: np.ndarray) -> np.ndarray:
+    """By symbol; the start has as many as the end."""
+    count = np.zeros(len(told.n) + 1, np.int64)
+    count[np.argsort(hashes[1:]) + 1] = told.n
+    count[START] = count[END]
+    return count
+
+
+def _step(directory: str, owners: int, bits: int, k: int, depth: int, n_all: int):
     """Takes the counts of sequences of k + 1 symbols; asks for those one longer, and sends the contexts of length k."""
 
     def run(rows: pa.Table) -> pa.Table:
         told = _Replies(rows)
         path = files.new_name(directory, told.block, f".{k}")
+        b = _Block(told.files, bits)
+        for _ in b.levels():
+            pass
         if k == 0:
-            count = np.zeros(len(told.n) + 1, np.int64)
-            hashes = _unpack(_load(told.files[0]).column("hash")[0].as_py()).view(np.uint64)
-            count[np.argsort(hashes[1:]) + 1] = told.n
-            count[START] = count[END]
+            count, sent = _word_counts(told, b.hash), _NONE
             _save(path, {"n": count})
-            b = _Block([*told.files, path])
-            sent = _NONE
+            b.known(count[b.symbol])
         else:
-            b = _Block(told.files)
             n, where = b.learn(told.n)
             sent = b.weigh(n_all, where, told.first)
             _save(path, {"n": n} | ({"kinds": told.kinds} if k > 1 else {}))
@@ -363,28 +378,34 @@ def _step(directory: str, owners: int, k: int, depth: int, n_all: int):
         if k < depth:
             at, keys, number = b.asked()
             n = np.bincount(number, b.train[at], len(keys)).astype(np.int64)
-        return _messages(told.block, [*told.files, path], owners, keys, n, *sent)
+        return _messages(told.block, [*told.files, path], owners, bits, keys, n, *sent)
 
     return run
 
 
-def _scores(n_all: int, types: int):
+def _scores(n_all: int, types: int, bits: int):
     def run(rows: pa.Table) -> pa.Table:
         told = _Replies(rows)
-        if len(told.files) == 1:  # the tree is its root
-            count = np.zeros(len(told.n) + 1, np.int64)
-            b = _Block(told.files)
-            count[np.argsort(b.hash[1:]) + 1] = told.n
-            b._known(count[b.symbol])
-        else:
-            b = _Block(told.files)
-            b.kinds.append(told.kinds)
+        b = _Block(told.files, bits)
+        # The file of a length has what was told of contexts one shorter; the last ones come with the replies.
+        kinds = [_array(t, "kinds") for t in map(_load, b.later) if "kinds" in t.column_names] + [told.kinds]
+        if not b.later:  # the tree is its root
+            b.known(_word_counts(told, b.hash)[b.symbol])
+            count = b.n[0]
+            root = (count + 1) / (n_all + types + 1)
+            q = root
+        for k in b.levels():
+            if not k:
+                count = b.n[0]
+                root = (count + 1) / (n_all + types + 1)
+                q = root.copy()
+            else:
+                b.smoothed(q, kinds[k - 1])
         token = b.place > 0
-        base = np.add.reduceat(np.where(token, np.log10((b.n[0] + 1) / (n_all + types + 1)), 0.0), b.starts)
+        add_up = lambda x: np.add.reduceat(np.where(token, x, 0), b.starts)
         return pa.table({
-            "doc_id": b.doc_id, "train": pa.array(b.train_texts), "n_tokens": pa.array(b.size),
-            "n_known": pa.array(np.add.reduceat((token & (b.n[0] > 0)).astype(np.int64), b.starts)),
-            "train_tokens": pa.array(np.full(len(b.size), n_all, np.int64)), "base_score": pa.array(base), "score": pa.array(base + b.log_gain(n_all, types)),
+            "doc_id": b.doc_id, "train": pa.array(b.train_texts), "n_tokens": pa.array(b.size), "n_known": pa.array(add_up((count > 0).astype(np.int64))),
+            "train_tokens": pa.array(np.full(len(b.size), n_all, np.int64)), "base_score": pa.array(add_up(np.log10(root))), "score": pa.array(add_up(np.log10(q))),
         })
 
     return run
@@ -397,13 +418,14 @@ def score(docs: DataFrame, train_on: Column, text: str = "text", depth: int = DE
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = max(partitions(spark), math.ceil(size / OWNER_BYTES))
     block_bytes = min(BLOCK_BYTES, max(1_000_000, size // partitions(spark)))
+    bits = min(64, int(size).bit_length() + SPARE_BITS)
     folder = fresh_dir(spark, "suffix-tree")
     old = None
 
-    def answered(messages: DataFrame, name: str) -> DataFrame:
+    def answered(messages: DataFrame, name: str, bits: int) -> DataFrame:
         nonlocal old
         path = fresh_dir(spark, name)
-        messages.groupBy("owner").applyInArrow(lambda rows: _answer(rows, owners), _REPLY).write.parquet(path)
+        messages.groupBy("owner").applyInArrow(lambda rows: _answer(rows, owners, bits), _REPLY).write.parquet(path)
         if old:
             drop_dir(spark, old)
         old = path
@@ -413,11 +435,11 @@ def score(docs: DataFrame, train_on: Column, text: str = "text", depth: int = DE
         # The work of a block is in its files, not in the size of its replies: small partitions are not to be merged.
         return replies.repartition(tasks, "block").groupBy("block")
 
-    replies = answered(rows.mapInArrow(_tokens(folder, owners, block_bytes), _MESSAGE), "words")
+    replies = answered(rows.mapInArrow(_tokens(folder, owners, block_bytes), _MESSAGE), "words", 64)
     seen = replies.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0)), F.countDistinct("block")).first()
     n_all, types, tasks = int(seen[0]), int(seen[1]), max(1, min(int(seen[2]), 4 * owners))
     if n_all and depth:
         for k in range(depth + 1):
-            replies = answered(by_block(replies).applyInArrow(_step(folder, owners, k, depth, n_all), _MESSAGE), f"replies-{k}")
+            replies = answered(by_block(replies).applyInArrow(_step(folder, owners, bits, k, depth, n_all), _MESSAGE), f"replies-{k}", bits)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return by_block(replies).applyInArrow(_scores(n_all, types), f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_block(replies).applyInArrow(_scores(n_all, types, bits), f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
