@@ -4,8 +4,9 @@ Words are whitespace-separated after lower-casing A-Z; a text is a start, its wo
 end token. A state of the tree is a context: up to DEPTH symbols before a token, the start among
 them. Contexts are of variable length. One is retained if its next symbols diverge enough from
 those of the context one shorter: the log-likelihood that it gains over all its training
-occurrences must pay PENALTY nats for each distinct next symbol. A context that occurs once is
-never retained. There is no other floor, so what is learned grows with the training texts.
+occurrences must pay PENALTY nats for each distinct next symbol. A context of k symbols must occur
+k times, and twice at least. These floors do not rise with the corpus, so what is learned grows
+with the training texts.
 
 The root is the add-one unigram (one more place for all unseen words). A retained context s that
 occurs n(s) times with T(s) distinct next symbols smooths its counts by the distribution q of its
@@ -15,7 +16,7 @@ up to 1. A token is scored by its longest retained context.
 Counting is an exchange between blocks of whole texts and owners of ranges of 64-bit hashes.
 Round by round, a block sends the distinct sequences whose counts it must know, with its own
 counts, and owners answer with totals. Left out, without loss, are sequences
-- whose context the training texts have at most once;
+- whose context occurs too seldom;
 - whose context without its first symbol has a single next symbol: longer contexts cannot gain
   anything over it;
 - of held-out texts, if the training texts lack the sequence without its first symbol.
@@ -54,13 +55,18 @@ from bramble.llm.common import drop_dir, fresh_dir, partitions
 DEPTH = 5
 #: Nats that each distinct next symbol of a retained context must gain.
 PENALTY = 2.0
-#: Most text of a block (less where there are fewer blocks than partitions), and text for each owner.
-BLOCK_BYTES, OWNER_BYTES = 14_000_000, 8_000_000
+#: Text of a block (less where there are fewer than two blocks a partition; the last one of a partition has half as much more at most), and text for each owner.
+BLOCK_BYTES, OWNER_BYTES = 14_000_000, 16_000_000
 SPARE_BITS = 24
 START, END = 0, 1  # symbols of a block; its words follow
 
-_MESSAGE = "block long, files array<string>, owner int, keys binary, n binary, contexts binary, kinds binary, gain binary"
-_REPLY = "block long, files array<string>, owner int, n binary, first binary, kinds binary, tokens long, types long"
+_MESSAGE = "block long, files string, owner int, keys binary, n binary, contexts binary, kinds binary, gain binary"
+_REPLY = "block long, files string, owner int, n binary, first binary, kinds binary, tokens long, types long"
+
+
+def least_count(length: int) -> int:
+    """Training occurrences that a context needs; never fewer for a longer one."""
+    return max(2, length)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -132,9 +138,9 @@ def _array(t: pa.Table, column: str) -> np.ndarray:
 class _Block:
     """The places of a block (each text's start, words and end) and what is known of them so far.
 
-    ``n[k]`` has by place the training count of the k + 1 symbols that end there; it is exact where it is at least 2 or
-    the place is live. ``live[k]`` are the places whose context of length k + 1 matters: it occurs twice and no shorter
-    one there has a single next symbol. Only the last ones are held.
+    ``n[k]`` has by place the training count of the k + 1 symbols that end there; it is exact where the place is live
+    and wherever it may reach least_count. ``live[k]`` are the places whose context of length k + 1 matters: it occurs often
+    enough and no shorter one there has a single next symbol. Only the last ones are held.
     """
 
     def __init__(self, paths: list[str], bits: int):
@@ -181,7 +187,7 @@ class _Block:
             done = n[at] == self.n[k - 1][at - 1]
             self.settled = np.concatenate([self.settled, at[done]])
             at = at[~done & (self.place[at] > k)]
-        self.live.append(at[n[at - 1] >= 2])
+        self.live.append(at[n[at - 1] >= least_count(k + 1)])
         if k > 2:
             self.n[k - 3] = None
         if k > 1:
@@ -240,17 +246,17 @@ class _Block:
             q[live] = (self.n[k][live] + t * q[live]) / (self.n[k - 1][live - 1] + t)
 
 
-def _messages(block: int, paths: list[str], owners: int, bits: int, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, gain: np.ndarray) -> pa.Table:
+def _messages(block: int, names: str, owners: int, bits: int, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, gain: np.ndarray) -> pa.Table:
     """A row for each owner that gets something, and one at least. keys and contexts are in order."""
     least = [_least_key(o, owners, bits) for o in range(owners)]
     borders = np.array(least[1:], np.uint64)
     a, b = (np.concatenate([[0], np.searchsorted(x, borders), [len(x)]]) for x in (keys, contexts))
     rows = [
-        (block, paths, o, _pack_keys(keys[a[o] : a[o + 1]], least[o]), _pack(n[a[o] : a[o + 1]]), _pack_keys(contexts[b[o] : b[o + 1]], least[o]), _pack(kinds[b[o] : b[o + 1]]), gain[b[o] : b[o + 1]].astype(np.float32).tobytes())
+        (block, names, o, _pack_keys(keys[a[o] : a[o + 1]], least[o]), _pack(n[a[o] : a[o + 1]]), _pack_keys(contexts[b[o] : b[o + 1]], least[o]), _pack(kinds[b[o] : b[o + 1]]), gain[b[o] : b[o + 1]].astype(np.float32).tobytes())
         for o in range(owners)
         if a[o + 1] > a[o] or b[o + 1] > b[o] or o == block % owners
     ]
-    kinds_of = (pa.int64(), pa.list_(pa.string()), pa.int32(), *[pa.binary()] * 5)
+    kinds_of = (pa.int64(), pa.string(), pa.int32(), *[pa.binary()] * 5)
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], names=[c.split()[0] for c in _MESSAGE.split(", ")])
 
 
@@ -294,9 +300,10 @@ def _answer(rows: pa.Table, owners: int, bits: int) -> pa.Table:
 class _Replies:
     """What a block was told by all owners."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, directory: str):
         rows = rows.sort_by("owner")
-        self.files = rows.column("files")[0].as_py()
+        self.names = rows.column("files")[0].as_py()
+        self.files = [f"{directory}/{name}" for name in self.names.split(" ")]
         self.block = rows.column("block")[0].as_py()
         n = [_unpack(x) for x in rows.column("n").to_pylist()]
         self.n = np.concatenate(n)
@@ -328,11 +335,12 @@ def _tokens(directory: str, owners: int, block_bytes: int):
         _save(path, {"hash": hashes, "symbol": at, "size": size, "train": np.array(train, np.uint64)}, pa.concat_arrays(doc_id))
         order = np.argsort(hashes[1:]) + 1
         n = np.bincount(at[learned], minlength=len(hashes))[order]
-        yield from _messages(number, [path], owners, 64, hashes[order], n, *_NONE).to_batches()
+        yield from _messages(number, path.rpartition("/")[2], owners, 64, hashes[order], n, *_NONE).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, piece = TaskContext.get().partitionId(), 0
         doc_id, texts, train, held = [], [], [], 0
+        full: tuple | None = None  # waits until what follows is half a block
         for b in batches:
             if not b.num_rows:
                 continue
@@ -340,11 +348,14 @@ def _tokens(directory: str, owners: int, block_bytes: int):
             texts += b.column("text").to_pylist()
             train += b.column("train").to_pylist()
             held += b.column("text").nbytes
+            if full and held >= block_bytes // 2:
+                yield from block(task << 24 | piece, *full)
+                full, piece = None, piece + 1
             if held >= block_bytes:
-                yield from block(task << 24 | piece, doc_id, texts, train)
-                doc_id, texts, train, held, piece = [], [], [], 0, piece + 1
-        if texts:
-            yield from block(task << 24 | piece, doc_id, texts, train)
+                full, doc_id, texts, train, held = (doc_id, texts, train), [], [], [], 0
+        if full or texts:
+            before = full or ([], [], [])
+            yield from block(task << 24 | piece, before[0] + doc_id, before[1] + texts, before[2] + train)
 
     return run
 
@@ -361,7 +372,7 @@ def _step(directory: str, owners: int, bits: int, k: int, depth: int, n_all: int
     """Takes the counts of sequences of k + 1 symbols; asks for those one longer, and sends the contexts of length k."""
 
     def run(rows: pa.Table) -> pa.Table:
-        told = _Replies(rows)
+        told = _Replies(rows, directory)
         path = files.new_name(directory, told.block, f".{k}")
         b = _Block(told.files, bits)
         for _ in b.levels():
@@ -378,14 +389,14 @@ def _step(directory: str, owners: int, bits: int, k: int, depth: int, n_all: int
         if k < depth:
             at, keys, number = b.asked()
             n = np.bincount(number, b.train[at], len(keys)).astype(np.int64)
-        return _messages(told.block, [*told.files, path], owners, bits, keys, n, *sent)
+        return _messages(told.block, f"{told.names} {path.rpartition('/')[2]}", owners, bits, keys, n, *sent)
 
     return run
 
 
-def _scores(n_all: int, types: int, bits: int):
+def _scores(directory: str, n_all: int, types: int, bits: int):
     def run(rows: pa.Table) -> pa.Table:
-        told = _Replies(rows)
+        told = _Replies(rows, directory)
         b = _Block(told.files, bits)
         # The file of a length has what was told of contexts one shorter; the last ones come with the replies.
         kinds = [_array(t, "kinds") for t in map(_load, b.later) if "kinds" in t.column_names] + [told.kinds]
@@ -417,7 +428,7 @@ def score(docs: DataFrame, train_on: Column, text: str = "text", depth: int = DE
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = max(partitions(spark), math.ceil(size / OWNER_BYTES))
-    block_bytes = min(BLOCK_BYTES, max(1_000_000, size // partitions(spark)))
+    block_bytes = min(BLOCK_BYTES, max(1_000_000, size // (2 * partitions(spark))))
     bits = min(64, int(size).bit_length() + SPARE_BITS)
     folder = fresh_dir(spark, "suffix-tree")
     old = None
@@ -442,4 +453,4 @@ def score(docs: DataFrame, train_on: Column, text: str = "text", depth: int = DE
         for k in range(depth + 1):
             replies = answered(by_block(replies).applyInArrow(_step(folder, owners, bits, k, depth, n_all), _MESSAGE), f"replies-{k}", bits)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return by_block(replies).applyInArrow(_scores(n_all, types, bits), f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_block(replies).applyInArrow(_scores(folder, n_all, types, bits), f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
