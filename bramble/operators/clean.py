@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bramble.operators.connect import connected
 from bramble.sources.graph import Graph
 from bramble.sources.store import stored
 
@@ -35,22 +38,9 @@ def remove_vertex(g: Graph, vid: int) -> Graph:
 
 
 def components(g: Graph) -> DataFrame:
-    """graph_id, vid, component: the smallest vid that can be reached. Edges are contracted onto smaller ends until none is left."""
-    edges = stored(g.edges.filter("src <> dst").select("graph_id", "src", "dst"), "edges")
-    found = g.vertices.select("graph_id", "vid", F.col("vid").alias("component"))
-    while not edges.isEmpty():
-        ends = edges.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("o")).union(edges.select("graph_id", "dst", "src"))
-        step = stored(ends.groupBy("graph_id", "v").agg(F.least("v", F.min("o")).alias("to")), "step")
-        jump = step.select("graph_id", F.col("v").alias("to"), F.col("to").alias("to2"))
-        step = stored(step.join(jump, ["graph_id", "to"]).select("graph_id", "v", F.col("to2").alias("to")), "jump")
-        found = stored(
-            found.join(step.withColumnRenamed("v", "component"), ["graph_id", "component"], "left").select("graph_id", "vid", F.coalesce("to", "component").alias("component")),
-            "components",
-        )
-        a, b = step.select("graph_id", F.col("v").alias("src"), F.col("to").alias("a")), step.select("graph_id", F.col("v").alias("dst"), F.col("to").alias("b"))
-        moved = edges.join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"]).filter("a <> b")
-        edges = stored(moved.select("graph_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
-    return found
+    """graph_id, vid, component: the smallest vid that can be reached."""
+    found = connected(g.edges.select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b")), ["graph_id"])
+    return g.vertices.select("graph_id", "vid").join(found.withColumnRenamed("id", "vid"), ["graph_id", "vid"], "left").select("graph_id", "vid", F.coalesce("component", "vid").alias("component"))
 
 
 def largest_component(g: Graph) -> Graph:
@@ -69,7 +59,16 @@ def k_range(vertices: DataFrame, k_min: int = 0, k_max: int | None = None, step:
     return n.filter(last >= first).select("graph_id", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("k"))
 
 
-def shown(rows: DataFrame, k_max: DataFrame | None = None) -> DataFrame:
-    """The rows a report shows: k up to 5, every tenth, and the last of each graph."""
-    last = rows.groupBy("graph_id").agg(F.max("k").alias("last_k")) if k_max is None else k_max
-    return rows.join(last, "graph_id").filter("k <= 5 OR k % 10 = 0 OR k = last_k").drop("last_k")
+#: Which rows a report shows: k up to 5, every tenth k and the last; every fifth row from k = 0; every tenth row from the first k and the last.
+SHOWN = {"ends": "k <= 5 OR k % 10 = 0 OR k = last_k", "fifths": "(k + 1) % 5 = 0", "tenths": "(k - first_k + 1) % 10 = 0 OR k = last_k"}
+
+
+def shown(rows: DataFrame, rule: str = "ends") -> DataFrame:
+    """The rows of each graph that a report shows, by one of the rules SHOWN."""
+    ends = rows.groupBy("graph_id").agg(F.min("k").alias("first_k"), F.max("k").alias("last_k"))
+    return rows.join(ends, "graph_id").filter(SHOWN[rule]).drop("first_k", "last_k")
+
+
+def at_k(rows: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """The rows of an explicit list of k."""
+    return rows.filter(F.col("k").isin([int(k) for k in ks]))

@@ -1,9 +1,9 @@
 """Minimum-degree peeling, and core numbers for graphs beyond one task.
 
 The peel removes, again and again, the vertex of least (degree, vid). This order is
-sequential, so one task holds one graph; many graphs run side by side. `max_edges` guards
-that; a larger graph is for core_numbers, whose rounds are joins and aggregates and which
-give dk_degeneracy for every k.
+sequential, so one task holds one graph; many graphs run side by side. A task that finds
+more than `max_edges` edges stops with an error; such a graph is for core_numbers, whose
+rounds are joins and aggregates and which give dk_degeneracy for every k.
 """
 
 from __future__ import annotations
@@ -11,63 +11,76 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bramble.sources.graph import Graph
-from bramble.sources.store import stored
+from bramble.sources.store import dropped, stored
 
 TRACE = "graph_id string, step long, vid long, vertices_before long, edges_before long, deg_at_removal long"
-MAX_EDGES = 50_000_000
+#: A task needs up to 0.1 GB a million edges, its input included.
+MAX_EDGES = 10_000_000
+_SPAN = 100_000
+
+
+def _neighbours(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Degrees, where each vertex's neighbours begin, and all neighbours."""
+    ends, others = np.concatenate([src, dst]), np.concatenate([dst, src])
+    others = others[np.argsort(ends, kind="stable")]
+    degree = np.bincount(ends, minlength=n)
+    return degree, np.append(0, np.cumsum(degree)), others
 
 
 def peel_order(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Removal order of vertices 0..n-1 and the degree of each when it goes."""
-    degree = np.bincount(src, minlength=n) + np.bincount(dst, minlength=n)
-    ends, others = np.concatenate([src, dst]), np.concatenate([dst, src])
-    others = others[np.argsort(ends, kind="stable")].tolist()
-    starts = np.append(0, np.cumsum(degree)).tolist()
-    left = degree.tolist()
-    heap = [d * n + v for v, d in enumerate(left)]  # one number orders by (degree, vertex)
+    left, starts, others = _neighbours(n, src.astype(np.int32), dst.astype(np.int32))
+    heap = (left * n + np.arange(n)).tolist()  # one number orders by (degree, vertex)
     heapq.heapify(heap)
-    order, at = [], []
-    while heap:
-        d, v = divmod(heapq.heappop(heap), n)
-        if left[v] != d:  # an entry that a later one replaced, or a removed vertex
-            continue
-        order.append(v)
-        at.append(d)
+    order, at = np.empty(n, np.int64), np.empty(n, np.int64)
+    for step in range(n):
+        while True:
+            d, v = divmod(heapq.heappop(heap), n)
+            if left[v] == d:  # else an entry that a later one replaced, or a removed vertex
+                break
+        order[step], at[step] = v, d
         left[v] = -1
-        for u in others[starts[v] : starts[v + 1]]:
-            if left[u] > 0:
-                left[u] -= 1
-                heapq.heappush(heap, left[u] * n + u)
-    return np.array(order, dtype=np.int64), np.array(at, dtype=np.int64)
-
-
-def _peel(rows: pd.DataFrame) -> pd.DataFrame:
-    """rows: graph_id, src, dst; one row (vid, NULL) per vertex and one per edge."""
-    lone = rows["dst"].isna().to_numpy()
-    vids = np.sort(rows["src"].to_numpy(dtype=np.int64)[lone])
-    src = np.searchsorted(vids, rows["src"].to_numpy(dtype=np.int64)[~lone])
-    dst = np.searchsorted(vids, rows["dst"].to_numpy()[~lone].astype(np.int64))
-    order, degree = peel_order(len(vids), src, dst)
-    n = len(vids)
-    return pd.DataFrame({
-        "graph_id": rows["graph_id"].iloc[0], "step": np.arange(1, n + 1), "vid": vids[order],
-        "vertices_before": n - np.arange(n), "edges_before": len(src) - np.cumsum(degree) + degree, "deg_at_removal": degree,
-    })
+        near = others[starts[v] : starts[v + 1]]
+        near = near[left[near] > 0]
+        left[near] -= 1
+        if len(heap) + len(near) > 4 * (n - step) + 64:  # mostly replaced entries: a heap of the living only
+            living = np.flatnonzero(left >= 0)
+            heap = (left[living] * n + living).tolist()
+            heapq.heapify(heap)
+        else:
+            for entry in (left[near] * n + near).tolist():
+                heapq.heappush(heap, entry)
+    return order, at
+
+
+def _peel(max_edges: int | None):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """rows: src, dst; one row (vid, NULL) per vertex and one per edge."""
+        lone = rows.column("dst").is_null().to_numpy()
+        if max_edges is not None and len(lone) - lone.sum() > max_edges:
+            raise ValueError(f"graph {key[0].as_py()!r} has more than {max_edges} edges, which one task should not hold; use core_numbers")
+        first, second = rows.column("src").to_numpy(), rows.column("dst").fill_null(0).to_numpy()
+        vids = np.sort(first[lone])
+        src, dst = np.searchsorted(vids, first[~lone]), np.searchsorted(vids, second[~lone])
+        order, degree = peel_order(len(vids), src, dst)
+        n = len(vids)
+        return pa.table({
+            "graph_id": pa.array([key[0].as_py()] * n, pa.string()), "step": np.arange(1, n + 1), "vid": vids[order],
+            "vertices_before": n - np.arange(n), "edges_before": len(src) - np.cumsum(degree) + degree, "deg_at_removal": degree,
+        })
+
+    return run
 
 
 def peel_trace(g: Graph, max_edges: int | None = MAX_EDGES) -> DataFrame:
     """One row per removal. Edges must be simple (see Graph.validate)."""
-    if max_edges is not None:
-        big = g.edges.groupBy("graph_id").count().filter(F.col("count") > max_edges).first()
-        if big is not None:
-            raise ValueError(f"graph {big['graph_id']!r} has {big['count']} edges, more than one task should hold; use core_numbers")
     rows = g.vertices.select("graph_id", F.col("vid").alias("src"), F.lit(None).cast("long").alias("dst")).union(g.edges.select("graph_id", "src", "dst"))
-    return rows.groupBy("graph_id").applyInPandas(_peel, TRACE)
+    return rows.groupBy("graph_id").applyInArrow(_peel(max_edges), TRACE)
 
 
 def core_numbers(g: Graph) -> DataFrame:
@@ -80,6 +93,7 @@ def core_numbers(g: Graph) -> DataFrame:
     both = stored(g.symmetric(), "symmetric")
     deg = both.groupBy("graph_id", F.col("u").alias("vid")).agg(F.count("*").alias("core"))
     now = stored(g.vertices.select("graph_id", "vid").join(deg, ["graph_id", "vid"], "left").select("graph_id", "vid", F.coalesce("core", F.lit(0)).alias("core")), "core")
+    old = now
     down = Window.partitionBy("graph_id", "u").orderBy(F.desc("c"))
     while True:
         seen = both.join(now.select("graph_id", F.col("vid").alias("v"), F.col("core").alias("c_v")), ["graph_id", "v"])
@@ -88,14 +102,20 @@ def core_numbers(g: Graph) -> DataFrame:
         h = seen.withColumn("upto", F.sum("n").over(down)).groupBy("graph_id", F.col("u").alias("vid")).agg(F.max(F.least("c", "upto")).alias("h"))
         new = now.join(h, ["graph_id", "vid"], "left").select("graph_id", "vid", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), (F.coalesce("h", F.lit(0)) < F.col("core")).alias("moved"))
         new = stored(new, "core")
-        now = new.select("graph_id", "vid", "core")
+        dropped(old)
+        old, now = new, new.select("graph_id", "vid", "core")
         if new.filter("moved").isEmpty():
+            dropped(both)
             return now
 
 
 def dk_degeneracy_from_cores(cores: DataFrame) -> DataFrame:
-    """graph_id, k, dk_degeneracy: the (n - k)-th smallest core number."""
+    """graph_id, k, dk_degeneracy: the (n - k)-th smallest core number. Ranges of k come from counts by core number; no vertex is ranked."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("graph_id").orderBy(F.desc("core"), "vid")
-    return cores.select("graph_id", (F.row_number().over(w) - 1).cast("long").alias("k"), F.col("core").alias("dk_degeneracy"))
+    counts = cores.groupBy("graph_id", "core").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("graph_id").orderBy(F.desc("core")))
+    spans = counts.select("graph_id", F.col("core").alias("dk_degeneracy"), (upto - F.col("n")).alias("first"), upto.alias("end"))
+    # Long spans are cut before they are written out, so that a core of very many vertices is spread over tasks.
+    pieces = spans.select("graph_id", "dk_degeneracy", "end", F.explode(F.sequence("first", F.col("end") - 1, F.lit(_SPAN).cast("long"))).alias("first"))
+    return pieces.select("graph_id", F.explode(F.sequence("first", F.least(F.col("first") + _SPAN, "end") - 1)).alias("k"), "dk_degeneracy")

@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "report":
             s.add_argument("--config", help="a YAML file")
             s.add_argument("--max-k", type=int)
+            s.add_argument("--out", help="where the chart table goes; the configuration's output_dir by default")
     return p
 
 
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if settings.computation.print_table:
         clean.shown(verify.result_table(found.checked)).orderBy("k").show(100, truncate=False)
     name = charts.file_name(settings.graph.name, configured_name=settings.output.filename, ending=settings.output.format)
-    charts.write_chart(charts.configured(found.dk, found.alpha), settings.output.output_dir, name, settings.output.format)
+    charts.write_chart(charts.configured(found.dk, found.alpha), args.out or settings.output.output_dir, name, settings.output.format)
 
 
 if __name__ == "__main__":

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bramble.operators import charts, clean, density, exact, peel, stats, verify
 from bramble.plans import api, tables
 from bramble.sources import generators, graph
-from bramble.sources.store import stored
+from bramble.sources.store import fresh_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,9 +34,10 @@ def _values(rows, columns: str) -> str:
 
 # --- SQL pieces -------------------------------------------------------------------------------------------------------
 _SUPPLY = "e AS (SELECT DISTINCT 'supply' AS g, l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem)"
-_TRADE = """e AS (SELECT DISTINCT 'trade' AS g, CAST(least(c_nationkey, s_nationkey) AS BIGINT) AS src, CAST(greatest(c_nationkey, s_nationkey) AS BIGINT) AS dst FROM (
-  SELECT c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey HAVING count(*) > 105))"""
+_TRADE = """deliveries AS (SELECT c_nationkey, s_nationkey, count(*) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE c_nationkey <> s_nationkey GROUP BY c_nationkey, s_nationkey),
+e AS (SELECT DISTINCT 'trade' AS g, CAST(least(c_nationkey, s_nationkey) AS BIGINT) AS src, CAST(greatest(c_nationkey, s_nationkey) AS BIGINT) AS dst FROM deliveries
+  WHERE c * (SELECT count(*) FROM deliveries) > (SELECT sum(c) FROM deliveries))"""
 _REGION = "e AS (SELECT r_name AS g, CAST(n_nationkey AS BIGINT) AS src, CAST(100 + r_regionkey AS BIGINT) AS dst FROM nation JOIN region ON n_regionkey = r_regionkey)"
 _LINKS = """h AS (SELECT DISTINCT 'p:' || page_id AS a, 'h:' || href AS b FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)),
 l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS vid FROM (SELECT a AS label FROM h UNION SELECT b FROM h)),
@@ -133,12 +135,27 @@ def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.largest_component(tables.links(spark, sf_dir)).vertices.select("vid", "label")
 
 
-@_query("SELECT * FROM " + _values([(c, len(g), sum(x[1] for x in g), sum(x[2] for x in g)) for c, g in graph.CATALOG.items()], "category, datasets, n, m"))
+#: Counted by hand from the published list, not from graph.CATALOG: category, datasets, sum of n, sum of m.
+_CATALOG_SUMS = (
+    ("Collaboration Networks", 5, 69033, 450822), ("Social Networks", 6, 444496, 17449992), ("Communication Networks", 3, 309022, 707567),
+    ("P2P Networks", 3, 25291, 92884), ("Product Networks", 4, 1476467, 11179528),
+)
+
+
+@_query("SELECT * FROM " + _values(_CATALOG_SUMS, "category, datasets, n, m"))
 def catalog_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.catalog(spark).groupBy("category").agg(F.count("*").cast("int").alias("datasets"), F.sum("n").cast("int").alias("n"), F.sum("m").cast("int").alias("m"))
 
 
-@_query("SELECT * FROM " + _values([(k, n, len({(min(p), max(p)) for p in e})) for k, (_, n, e) in generators.FIXTURES.items()], "graph_id, n, m"))
+#: Sizes by the formulas of the families, and of the others by their definitions.
+_SIZES_SQL = """WITH k AS (SELECT unnest(['K4', 'K5', 'K6', 'K10', 'C5', 'C6', 'C7', 'C8', 'C15', 'P5', 'P6', 'P7', 'P10', 'star5', 'star8']) AS graph_id),
+x AS (SELECT graph_id, regexp_extract(graph_id, '^[A-Za-z]+') AS f, CAST(regexp_extract(graph_id, '[0-9]+$') AS INTEGER) AS i FROM k)
+SELECT graph_id, CASE f WHEN 'star' THEN i + 1 ELSE i END AS n, CASE f WHEN 'K' THEN i * (i - 1) // 2 WHEN 'P' THEN i - 1 ELSE i END AS m FROM x
+UNION ALL SELECT * FROM (VALUES ('petersen', 10, 15), ('circulant6', 6, 12), ('cubical', 8, 12), ('dodecahedral', 20, 30), ('grid3x3', 9, 12), ('C8_chords', 8, 10), ('C6_chords', 6, 8),
+  ('two_edges', 4, 2), ('single', 1, 0), ('lollipop', 10, 15), ('two_dense', 11, 19), ('k4_isolated', 7, 6), ('bound_break', 7, 12), ('tie_a', 7, 8), ('tie_b', 7, 8), ('atie_a', 9, 7), ('atie_b', 9, 7)) v(graph_id, n, m)"""
+
+
+@_query(_SIZES_SQL)
 def generators_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.size(generators.fixture_graphs(spark)).select("graph_id", F.col("n").cast("int").alias("n"), F.col("m").cast("int").alias("m"))
 
@@ -257,15 +274,8 @@ def _region(spark: SparkSession, sf_dir: str) -> api.Analysis:
     return api.analyze(tables.region_star(spark, sf_dir))
 
 
-#: Fixtures of at most 11 vertices: their exact values are quick in SQL.
-_SMALL = [k for k, (_, n, _) in generators.FIXTURES.items() if n <= 11]
-_SMALL_E = "e AS " + _values([(k, a, b) for k in _SMALL for a, b in {(min(p), max(p)) for p in generators.FIXTURES[k][2]}], "g, src, dst")
-_SMALL_V = "v AS " + _values([(k, v) for k in _SMALL for v in range(generators.FIXTURES[k][1])], "g, vid")
-_SMALL_ALL = f"WITH RECURSIVE {_SMALL_E}, {_SMALL_V}, {_SYM}, {_PEEL}, {_DK}, {_REMOVAL}, {_EXACT}, {_CHECK}"
-
-
-def _small(spark: SparkSession) -> api.Analysis:
-    return api.analyze(generators.fixture_graphs(spark, _SMALL))
+def _fixtures(spark: SparkSession) -> api.Analysis:
+    return api.analyze(generators.fixture_graphs(spark))
 
 
 _CHECK_OUT = "SELECT g AS graph_id, k, dk, alpha_k, lower_bound_ok, upper_bound_ok, ratio FROM ck"
@@ -276,9 +286,9 @@ def verify_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _region(spark, sf_dir).checked
 
 
-@_query(f"{_SMALL_ALL} {_CHECK_OUT}")
+@_query(f"{_FIXTURE_ALL} {_CHECK_OUT}")
 def verify_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _small(spark).checked
+    return _fixtures(spark).checked
 
 
 @_query(f"""{_REGION_ALL} SELECT g AS graph_id, k, dk, alpha_k, 2 * dk AS two_dk, CASE WHEN ratio = 'inf'::DOUBLE THEN 'inf' ELSE printf('%.3f', ratio) END AS ratio,
@@ -287,14 +297,20 @@ def result_table_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.result_table(_region(spark, sf_dir).checked)
 
 
-@_query(f"""{_SMALL_ALL} SELECT g AS graph_id, min(ratio) AS min_ratio, max(ratio) AS max_ratio, avg(ratio) AS mean_ratio, quantile_cont(ratio, 0.5) AS median_ratio, count_if(ratio = 'inf'::DOUBLE)::BIGINT AS n_infinite,
+def _finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Infinite and undefined figures as NULL, so that they compare alike; n_infinite tells of them."""
+    return df.withColumns({c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in columns})
+
+
+@_query(f"""{_FIXTURE_ALL} SELECT g AS graph_id, CASE WHEN isfinite(min(ratio)) THEN min(ratio) END AS min_ratio, CASE WHEN isfinite(max(ratio)) THEN max(ratio) END AS max_ratio,
+CASE WHEN isfinite(max(ratio)) THEN avg(ratio) END AS mean_ratio, CASE WHEN isfinite(quantile_cont(ratio, 0.5)) THEN quantile_cont(ratio, 0.5) END AS median_ratio, count_if(ratio = 'inf'::DOUBLE)::BIGINT AS n_infinite,
 bool_and(lower_bound_ok) AS all_lower_ok, bool_and(upper_bound_ok) AS all_upper_ok, CASE max(ratio) WHEN 2 THEN 'worst case' WHEN 1 THEN 'optimal' ELSE 'neither' END AS class
-FROM ck WHERE g NOT IN (SELECT g FROM ck WHERE ratio = 'inf'::DOUBLE) GROUP BY g""")
+FROM ck WHERE ratio IS NOT NULL GROUP BY g""")
 def ratio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.ratio_summary(_small(spark).checked).filter("n_infinite = 0")
+    return _finite(verify.ratio_summary(_fixtures(spark).checked), ["min_ratio", "max_ratio", "mean_ratio", "median_ratio"])
 
 
-@_query(f"""{_SMALL_ALL}, f AS (SELECT * FROM ck WHERE ratio < 'inf'::DOUBLE),
+@_query(f"""{_FIXTURE_ALL}, f AS (SELECT * FROM ck WHERE ratio < 'inf'::DOUBLE),
 sh AS (SELECT g, CASE WHEN min(ratio) = max(ratio) THEN min(ratio) - 0.5 ELSE min(ratio) END AS lo, CASE WHEN min(ratio) = max(ratio) THEN max(ratio) + 0.5 ELSE max(ratio) END AS hi,
   least(10, count(DISTINCT ratio))::INT AS bins, avg(ratio) AS mean, quantile_cont(ratio, 0.5) AS median FROM f GROUP BY g),
 pl AS (SELECT g, least(bins - 1, floor((ratio - lo) / ((hi - lo) / bins)))::INT AS bin, count(*) AS c FROM f JOIN sh USING (g) GROUP BY 1, 2),
@@ -302,16 +318,16 @@ ev AS (SELECT *, unnest(range(0, bins))::INT AS bin FROM sh)
 SELECT ev.g AS graph_id, ev.bin, lo + ev.bin * ((hi - lo) / bins) AS bin_lo, lo + (ev.bin + 1) * ((hi - lo) / bins) AS bin_hi, coalesce(c, 0) AS count, mean, median
 FROM ev LEFT JOIN pl ON pl.g = ev.g AND pl.bin = ev.bin""")
 def ratio_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.ratio_histogram(_small(spark).checked)
+    return verify.ratio_histogram(_fixtures(spark).checked)
 
 
-_FAMILY = _values([(k, generators.FIXTURES[k][0]) for k in _SMALL], "g, family")
+_FAMILY = _values([(k, generators.FIXTURES[k][0]) for k in generators.FIXTURES], "g, family")
 
 
-@_query(f"{_SMALL_ALL} SELECT family, count(*) AS graphs, min(ratio) AS min_ratio, max(ratio) AS max_ratio, bool_and(lower_bound_ok AND upper_bound_ok) AS all_ok FROM ck JOIN {_FAMILY} USING (g) WHERE k = 0 GROUP BY family")
+@_query(f"{_FIXTURE_ALL} SELECT family, count(*) AS graphs, min(ratio) AS min_ratio, max(ratio) AS max_ratio, bool_and(lower_bound_ok AND upper_bound_ok) AS all_ok FROM ck JOIN {_FAMILY} USING (g) WHERE k = 0 GROUP BY family")
 def graph_family_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    families = spark.createDataFrame([(k, generators.FIXTURES[k][0]) for k in _SMALL], "graph_id string, family string")
-    at0 = _small(spark).checked.filter("k = 0").join(families, "graph_id")
+    families = spark.createDataFrame([(k, generators.FIXTURES[k][0]) for k in generators.FIXTURES], "graph_id string, family string")
+    at0 = _fixtures(spark).checked.filter("k = 0").join(families, "graph_id")
     return at0.groupBy("family").agg(F.count("*").alias("graphs"), F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"), F.every(F.col("lower_bound_ok") & F.col("upper_bound_ok")).alias("all_ok"))
 
 
@@ -320,9 +336,9 @@ def dk_summary_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.dk_summary(density.dk_all(peel.peel_trace(tables.trade(spark, sf_dir))))
 
 
-@_query(f"{_SMALL_ALL} SELECT g AS graph_id, min(alpha_exact) AS min_alpha, max(alpha_exact) AS max_alpha, max(alpha_exact) - min(alpha_exact) AS delta, CASE WHEN min(alpha_exact) = max(alpha_exact) THEN 'CONSTANT' ELSE 'VARYING' END AS trend FROM ax GROUP BY g")
+@_query(f"{_FIXTURE_ALL} SELECT g AS graph_id, min(alpha_exact) AS min_alpha, max(alpha_exact) AS max_alpha, max(alpha_exact) - min(alpha_exact) AS delta, CASE WHEN min(alpha_exact) = max(alpha_exact) THEN 'CONSTANT' ELSE 'VARYING' END AS trend FROM ax GROUP BY g")
 def alpha_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.alpha_summary(exact.alpha_exact(generators.fixture_graphs(spark, _SMALL)))
+    return verify.alpha_summary(exact.alpha_exact(generators.fixture_graphs(spark)))
 
 
 @_query(f"{_TRADE_PEEL}, {_DK} SELECT g AS graph_id, max(dk_degeneracy) AS alpha_lo, 2 * max(dk_degeneracy) AS alpha_hi FROM dk GROUP BY g")
@@ -330,9 +346,9 @@ def alpha_interval_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.alpha_interval(density.dk_all(peel.peel_trace(tables.trade(spark, sf_dir))))
 
 
-@_query(f"{_SMALL_ALL} SELECT g AS graph_id, max(alpha_k) AS max_alpha, max(dk) AS max_dk, CASE WHEN max(dk) > 0 THEN max(alpha_k) / max(dk)::DOUBLE ELSE 'inf'::DOUBLE END AS max_alpha_by_dk FROM ck GROUP BY g")
+@_query(f"{_FIXTURE_ALL} SELECT g AS graph_id, max(alpha_k) AS max_alpha, max(dk) AS max_dk, CASE WHEN max(alpha_k) IS NULL THEN NULL WHEN max(dk) > 0 THEN max(alpha_k) / max(dk)::DOUBLE ELSE 'inf'::DOUBLE END AS max_alpha_by_dk FROM ck GROUP BY g")
 def max_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.max_ratio(_small(spark).checked)
+    return verify.max_ratio(_fixtures(spark).checked)
 
 
 @_query(f"{_REGION_ALL} SELECT dk.g AS graph_id, dk.k, dk_tail_degree AS dk, coalesce(alpha_exact, dk_tail_degree) AS alpha FROM dk LEFT JOIN ax ON ax.g = dk.g AND ax.k = dk.k WHERE dk.k >= 1")
@@ -341,10 +357,11 @@ def alpha_series_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.alpha_or_dk(found.dk, found.alpha)
 
 
-@_query(f"""{_SMALL_ALL}, dd AS (SELECT g, min(dk_degeneracy) AS min_dk, max(dk_degeneracy) AS max_dk FROM dk GROUP BY g), rr AS (SELECT g, avg(ratio) AS mean_ratio, min(ratio) AS min_ratio, max(ratio) AS max_ratio FROM ck GROUP BY g)
-SELECT g AS graph_id, min_dk, max_dk, mean_ratio, min_ratio, max_ratio FROM dd JOIN rr USING (g) WHERE max_ratio < 'inf'::DOUBLE""")
+@_query(f"""{_FIXTURE_ALL}, dd AS (SELECT g, min(dk_degeneracy) AS min_dk, max(dk_degeneracy) AS max_dk FROM dk GROUP BY g), rr AS (SELECT g, avg(ratio) AS mean_ratio, min(ratio) AS min_ratio, max(ratio) AS max_ratio FROM ck GROUP BY g)
+SELECT g AS graph_id, min_dk, max_dk, CASE WHEN isfinite(max_ratio) THEN mean_ratio END AS mean_ratio, CASE WHEN isfinite(min_ratio) THEN min_ratio END AS min_ratio, CASE WHEN isfinite(max_ratio) THEN max_ratio END AS max_ratio
+FROM dd LEFT JOIN rr USING (g)""")
 def cross_graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _small(spark).across().filter("max_ratio < double('inf')")
+    return _finite(_fixtures(spark).across(), ["mean_ratio", "min_ratio", "max_ratio"])
 
 
 @_query(f"{_TRADE_PEEL}, {_DK} SELECT k, dk_degeneracy FROM dk WHERE k <= 5 OR k % 10 = 0 OR k = (SELECT max(k) FROM dk)")
@@ -393,3 +410,204 @@ FROM dk LEFT JOIN ax ON ax.g = dk.g AND ax.k = dk.k WINDOW p AS (PARTITION BY dk
 def chart_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _region(spark, sf_dir)
     return charts.correlation(found.dk, found.alpha)
+
+
+# --- files, sources and generators as a user calls them ---------------------------------------------------------------
+def _written(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """The folder of a text file (value) that is written as <name>.txt.gz."""
+    folder = fresh_dir(spark, "files")
+    lines.write.option("compression", "gzip").text(f"{folder}/{name}.txt.gz")
+    return folder
+
+
+def _customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge list of customers and their nations (1,000,000 and more), with comments, loops, repeats and bad lines."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    nation = F.lit(1_000_000) + F.col("c_nationkey")
+    kinds = [
+        F.concat_ws("\t", "c_custkey", nation), F.when(F.col("c_custkey") % 3 == 0, F.concat_ws(" ", nation, "c_custkey", F.lit("7"))),
+        F.when(F.col("c_custkey") % 5 == 0, F.concat_ws(" ", "c_custkey", "c_custkey")), F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("# "), "c_name")), F.when(F.col("c_custkey") % 11 == 0, F.lit("one 2")),
+    ]
+    return c.select(F.explode(F.array(*kinds)).alias("value")).filter("value IS NOT NULL")
+
+
+_CUSTOMERS = "e AS (SELECT DISTINCT CAST(c_custkey AS BIGINT) AS src, CAST(1000000 + c_nationkey AS BIGINT) AS dst FROM customer)"
+
+
+@_query(f"""WITH {_CUSTOMERS}, t AS (SELECT dst FROM e GROUP BY dst ORDER BY count(*) DESC, min(src) LIMIT 1), b AS (SELECT src, dst FROM e JOIN t USING (dst))
+SELECT 'ca-GrQc' AS graph_id, src AS vid, 1::BIGINT AS degree FROM b UNION ALL SELECT 'ca-GrQc', dst, count(*) FROM b GROUP BY dst""")
+def named_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogued graph from its file: parsed, without loops, largest component."""
+    folder = _written(spark, _customer_lines(spark, sf_dir), "ca-GrQc")
+    return stats.degrees(api.load(spark, "catalog", name="ca-GrQc", cache_dir=folder))
+
+
+@_query(f"""WITH {_CUSTOMERS}, a AS (SELECT src, dst FROM e UNION ALL SELECT DISTINCT CAST(c_custkey AS BIGINT), CAST(c_custkey AS BIGINT) FROM customer WHERE c_custkey % 5 = 0)
+SELECT src, dst, src = dst AS is_loop FROM a""")
+def plain_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file as it stands: loops stay."""
+    folder = _written(spark, _customer_lines(spark, sf_dir), "customers")
+    return api.load(spark, "file", path=f"{folder}/customers.txt.gz").edges.select("src", "dst", (F.col("src") == F.col("dst")).alias("is_loop"))
+
+
+@_query("""WITH e AS (SELECT DISTINCT least(n_nationkey, 30 + n_regionkey) AS src, greatest(n_nationkey, 30 + n_regionkey) AS dst FROM nation), s AS (SELECT src AS v FROM e UNION ALL SELECT dst FROM e)
+SELECT CAST(i AS BIGINT) AS vid, CAST(i AS VARCHAR) AS label, count(v) AS degree FROM (SELECT unnest(range(0, 40)) AS i) LEFT JOIN s ON v = i GROUP BY i""")
+def edge_list_with_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of numbers with a given number of vertices: some are isolated. The 25 nations are a list of fixed length."""
+    pairs = [(r["n_nationkey"], 30 + r["n_regionkey"]) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").collect()]
+    g = graph.from_edge_list(spark, pairs, n=40)
+    return stats.degrees(g).join(g.vertices, ["graph_id", "vid"]).select("vid", "label", "degree")
+
+
+@_query(f"""WITH {_TRADE}, m AS (SELECT g, src, dst FROM e UNION SELECT 'trade', CAST(n_nationkey AS BIGINT), 100::BIGINT FROM nation) SELECT src, dst FROM m""")
+def added_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More edges, some of which are there, given either way round: all nations to a new vertex, and the graph's own reversed."""
+    g = tables.trade(spark, sf_dir)
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit("trade").alias("graph_id"), F.lit(100).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst"))
+    own = g.edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return g.add_edges(nations.union(own)).edges.select("src", "dst")
+
+
+@_query("""SELECT name, coalesce(c, 'other') AS category, coalesce(d, name) AS description, nm AS catalog_n FROM (VALUES ('ca-GrQc'), ('wiki-Vote'), ('my-graph')) f(name)
+LEFT JOIN (VALUES ('ca-GrQc', 'Collaboration Networks', 'General Relativity collaboration', 5242::BIGINT), ('wiki-Vote', 'Communication Networks', 'Wikipedia voting network', 7115::BIGINT)) k(kn, c, d, nm) ON kn = name""")
+def described_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with what the catalog knows of them, and a fallback."""
+    found = spark.createDataFrame([("ca-GrQc",), ("wiki-Vote",), ("my-graph",)], "name string")
+    return graph.described(spark, found).select("name", "category", "description", "catalog_n")
+
+
+@_query("SELECT v AS vid, least(v, 3)::BIGINT AS earlier FROM (SELECT unnest(range(4, 200)) AS v) UNION ALL SELECT unnest([1, 2, 3]), 1")
+def preferential_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partners with smaller numbers in a preferential graph of 200 vertices: 3 for each new vertex, the centre for the first ones."""
+    g = api.load(spark, "synthetic", kind="preferential", n=200, m=3, seed=7)
+    return g.edges.groupBy(F.col("dst").alias("vid")).agg(F.count("*").alias("earlier"))
+
+
+@_query("SELECT 3000::BIGINT AS n, 0::BIGINT AS bad_edges, 0::BIGINT AS repeated, true AS m_as_expected, true AS spread_as_expected")
+def random_graph_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random graph of 3,000 vertices: simple, and its edges and squared degrees within five deviations of what p = 0.01 gives."""
+    n, p = 3000, 0.01
+    g = api.load(spark, "synthetic", kind="random", n=n, p=p, seed=11)
+    pairs, mean = n * (n - 1) / 2, (n - 1) * p
+    deg = stats.degrees(g).agg(F.count("*").alias("n"), F.sum("degree").alias("d"), F.var_pop("degree").alias("v"))
+    bad = g.edges.agg(F.count_if(F.expr(f"src < 0 OR src >= dst OR dst >= {n}")).alias("bad_edges"), (F.count("*") - F.countDistinct("src", "dst")).alias("repeated"))
+    m_ok = F.abs(F.col("d") / 2 - pairs * p) < 5 * (pairs * p * (1 - p)) ** 0.5
+    v_ok = F.abs(F.col("v") / (mean * (1 - p)) - 1) < 5 * (2 / n) ** 0.5
+    return deg.join(bad).select("n", "bad_edges", "repeated", m_ok.alias("m_as_expected"), v_ok.alias("spread_as_expected"))
+
+
+# --- statistics, reports and ranges as a user calls them --------------------------------------------------------------
+_CLUSTER = """dg AS (SELECT v.g, v.vid, count(s.v) AS d FROM v LEFT JOIN s ON s.g = v.g AND s.u = v.vid GROUP BY v.g, v.vid),
+tr3 AS (SELECT a.g, a.u, count(*) / 2 AS t FROM s a JOIN s b ON a.g = b.g AND a.u = b.u AND a.v <> b.v JOIN s c ON c.g = a.g AND c.u = a.v AND c.v = b.v GROUP BY a.g, a.u),
+cl AS (SELECT dg.g, avg(CASE WHEN d >= 2 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END) AS avg_clustering FROM dg LEFT JOIN tr3 ON tr3.g = dg.g AND tr3.u = dg.vid GROUP BY dg.g)"""
+_STATS_SQL = f"""r(g, u, c) AS (SELECT g, vid, vid FROM v UNION SELECT r.g, s.v, r.c FROM r JOIN s ON s.g = r.g AND s.u = r.u), co AS (SELECT g, u, min(c) AS c FROM r GROUP BY g, u),
+cc AS (SELECT g, count(DISTINCT c) = 1 AS connected FROM co GROUP BY g), nn AS (SELECT g, count(*) AS n FROM v GROUP BY g), mm AS (SELECT g, count(*) AS m FROM e GROUP BY g), {_CLUSTER}
+SELECT g AS graph_id, n, coalesce(m, 0) AS m, 2.0::DOUBLE * coalesce(m, 0) / n AS avg_degree, CASE WHEN n > 1 THEN 2.0::DOUBLE * coalesce(m, 0) / (n * (n - 1)) END AS density, connected, avg_clustering
+FROM nn LEFT JOIN mm USING (g) JOIN cc USING (g) JOIN cl USING (g)"""
+
+
+@_query(f"WITH RECURSIVE {_TRADE}, {_ENDS}, {_SYM}, {_STATS_SQL}")
+def graph_stats_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of one graph: size, density, connected, clustering."""
+    return stats.graph_stats(tables.trade(spark, sf_dir))
+
+
+@_query(f"WITH RECURSIVE {_FIXTURE_E}, {_FIXTURE_V}, {_SYM}, {_STATS_SQL}")
+def graph_stats_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.graph_stats(generators.fixture_graphs(spark))
+
+
+@_query(f"""{_FIXTURE_ALL}, x AS (SELECT g, max(deg) AS dk FROM tr WHERE n > 2 GROUP BY g), f AS (SELECT tr.g, dk, min(step) AS step FROM tr JOIN x USING (g) WHERE n > 2 AND deg = dk GROUP BY tr.g, dk),
+h AS (SELECT tr.g, vid FROM tr JOIN f ON f.g = tr.g AND tr.step >= f.step), hs AS (SELECT s.g, s.u FROM s JOIN h a ON a.g = s.g AND a.vid = s.u JOIN h b ON b.g = s.g AND b.vid = s.v),
+hd AS (SELECT h.g, h.vid, count(hs.u) AS d FROM h LEFT JOIN hs ON hs.g = h.g AND hs.u = h.vid GROUP BY h.g, h.vid),
+wr AS (SELECT hd.g, 2::BIGINT AS k, any_value(f.dk) AS dk, any_value(step) AS step, count(*) AS n_witness, CAST(sum(d) / 2 AS BIGINT) AS m_witness, min(d) AS min_degree FROM hd JOIN f ON f.g = hd.g GROUP BY hd.g),
+nn AS (SELECT g, count(*) AS n FROM v GROUP BY g), mm AS (SELECT g, count(*) AS m FROM e GROUP BY g), ar2 AS (SELECT g, alpha_k, CASE WHEN isfinite(ratio) THEN ratio END AS ratio FROM ck WHERE k = 2)
+SELECT nn.g AS graph_id, n, coalesce(m, 0) AS m, 2.0::DOUBLE * coalesce(m, 0) / n AS avg_degree, CASE WHEN n > 1 THEN 2.0::DOUBLE * coalesce(m, 0) / (n * (n - 1)) END AS density,
+  k, dk, step, n_witness, m_witness, min_degree, alpha_k, ratio
+FROM nn LEFT JOIN mm ON mm.g = nn.g LEFT JOIN wr ON wr.g = nn.g LEFT JOIN ar2 ON ar2.g = nn.g""")
+def graph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report on each graph at k = 2: size, d_k, exact alpha, ratio, witness."""
+    return _finite(api.report(generators.fixture_graphs(spark), 2), ["ratio"])
+
+
+@_query(f"""{_FIXTURE_ALL}, al2 AS (SELECT g, s, size, CAST(ceil(2.0 * m / size) AS BIGINT) AS a FROM ct WHERE size > 2),
+tp AS (SELECT al2.g, al2.s, al2.size, a FROM al2 JOIN (SELECT g, max(a) AS a FROM al2 GROUP BY g) USING (g, a)),
+ls AS (SELECT tp.g, a, size, list(rk.vid ORDER BY rk.vid) AS vids FROM tp JOIN rk ON rk.g = tp.g AND (s >> rk.b::INT) & 1 = 1 GROUP BY tp.g, s, a, size)
+SELECT g AS graph_id, a AS alpha_exact, vids FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY size, vids) AS o FROM ls) WHERE o = 1""")
+def exact_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first densest subset of more than 2 vertices: smaller ones first, then in the order of combinations."""
+    return exact.exact_witness(generators.fixture_graphs(spark), 2)
+
+
+_OUTSIDE = (-3, 0, 24, 25, 1000)
+
+
+@_query(f"""{_TRADE_PEEL}, q AS (SELECT unnest({list(_OUTSIDE)})::BIGINT AS k)
+SELECT g AS graph_id, k, coalesce(max(CASE WHEN n > greatest(k, 0) THEN CAST(ceil(2.0 * m / n) AS BIGINT) END), 0) AS dk_density, coalesce(max(CASE WHEN n <= k THEN deg END), 0) AS dk_tail_degree,
+  coalesce(max(CASE WHEN n > greatest(k, 0) THEN deg END), 0) AS dk_degeneracy FROM tr, q GROUP BY g, k""")
+def dk_outside_the_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each variant below 0, at the ends and beyond the number of vertices."""
+    trace = stored(peel.peel_trace(tables.trade(spark, sf_dir)), "trace")
+    return reduce(DataFrame.union, [density.dk_at(trace, k) for k in _OUTSIDE])
+
+
+@_query(f"""{_TRADE_PEEL}, {_DK} SELECT k, dk_degeneracy, 'fifths' AS rule FROM dk WHERE (k + 1) % 5 = 0
+UNION ALL SELECT k, dk_degeneracy, 'tenths' FROM dk WHERE (k + 1) % 10 = 0 OR k = (SELECT max(k) FROM dk) UNION ALL SELECT k, dk_degeneracy, 'listed' FROM dk WHERE k IN (1, 5, 10, 15, 19)""")
+def shown_rows_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other rules of shown rows, and an explicit list of k."""
+    dk = stored(density.dk_all(peel.peel_trace(tables.trade(spark, sf_dir))), "dk")
+    kinds = {"fifths": clean.shown(dk, "fifths"), "tenths": clean.shown(dk, "tenths"), "listed": clean.at_k(dk, [1, 5, 10, 15, 19])}
+    return reduce(DataFrame.union, [rows.select("k", "dk_degeneracy", F.lit(rule).alias("rule")) for rule, rows in kinds.items()])
+
+
+@_query(f"""{_FIXTURE_ALL}, f AS (SELECT * FROM ck WHERE ratio < 'inf'::DOUBLE), ls AS (SELECT dk.g, dk.k, dk_degeneracy AS d, alpha_exact AS a FROM dk LEFT JOIN ax ON ax.g = dk.g AND ax.k = dk.k)
+SELECT g AS graph_id, 'lines' AS panel, count(*) AS points, CAST(sum(k) AS BIGINT) AS sum_k, CAST(sum(d) AS BIGINT) AS sum_lo, CAST(sum(2 * d) AS BIGINT) AS sum_hi FROM ls GROUP BY g
+UNION ALL SELECT g, 'ratio', count(*), CAST(sum(k) AS BIGINT), count_if(d > 0 AND a >= d)::BIGINT, count_if(d > 0 AND a <= 2 * d)::BIGINT FROM ls GROUP BY g
+UNION ALL SELECT g, 'scatter', count(*), CAST(sum(k) AS BIGINT), CAST(sum(dk) AS BIGINT), CAST(sum(alpha_k) AS BIGINT) FROM ck WHERE alpha_k IS NOT NULL GROUP BY g
+UNION ALL SELECT g, 'histogram', least(10, count(DISTINCT ratio)), NULL, count(*), count(*) FROM f GROUP BY g""")
+def four_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables behind the four-panel chart, summed up by graph and panel."""
+    found = _fixtures(spark)
+    p = charts.four_panels(found.dk, found.alpha, found.checked)
+    n, k = F.count("*").alias("points"), F.sum("k").alias("sum_k")
+
+    def panel(name: str, *sums) -> DataFrame:
+        cols = [c.cast("long").alias(a) for c, a in zip(sums, ("sum_lo", "sum_hi"), strict=True)]
+        return p[name].groupBy("graph_id").agg(n, k if name != "histogram" else F.lit(None).cast("long").alias("sum_k"), *cols).select("graph_id", F.lit(name).alias("panel"), "points", "sum_k", "sum_lo", "sum_hi")
+
+    r = F.col("ratio")
+    finite = r < float("inf")
+    return reduce(DataFrame.union, [
+        panel("lines", F.sum("band_lo"), F.sum("band_hi")), panel("ratio", F.count_if(finite & (r >= F.col("line_lo"))), F.count_if(finite & (r <= F.col("line_hi")))),
+        panel("scatter", F.sum("dk"), F.sum("alpha")), panel("histogram", F.sum("count"), F.sum("count")),
+    ])
+
+
+@_query(f"""WITH {_SUPPLY}, {_ENDS}, n AS (SELECT count(*) AS n FROM v), m AS (SELECT count(*) AS m FROM e)
+SELECT n, m, 0::BIGINT AS out_of_order, 0::BIGINT AS wrong_degree, m AS sum_of_degrees, 1::BIGINT AS last_vertices, 0::BIGINT AS wrong_counts FROM n, m""")
+def peel_check_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any peel must keep to, checked on its trace by joins: each vertex goes once, with as many later neighbours as its degree says, when no later
+    vertex has fewer left; the edges before are those of the later vertices."""
+    g = tables.supply(spark, sf_dir)
+    trace = stored(peel.peel_trace(g), "trace")
+    at = trace.select("graph_id", "vid", "step")
+    later = g.symmetric().join(at.select("graph_id", F.col("vid").alias("u"), F.col("step").alias("su")), ["graph_id", "u"]).join(at.select("graph_id", F.col("vid").alias("v"), F.col("step").alias("sv")), ["graph_id", "v"])
+    left = later.filter("su < sv").groupBy("graph_id", F.col("u").alias("vid")).agg(F.count("*").alias("d"))
+    # When vertex v goes at step s with degree d, each later u has at least d neighbours from step s on: its least slack is over the steps before its own.
+    checked = trace.join(left, ["graph_id", "vid"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    by_step = Window.partitionBy("graph_id").orderBy("step")
+    first = checked.withColumn("gone", F.coalesce(F.sum("d").over(by_step.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    m = g.edges.groupBy("graph_id").agg(F.count("*").alias("m"))
+    # A removal lowers the least degree by one at most.
+    drop = first.withColumn("before", F.lag("deg_at_removal").over(by_step)).join(m, "graph_id")
+    return drop.groupBy("graph_id").agg(
+        F.countDistinct("vid").alias("n"), F.first("m").alias("m"), F.count_if(F.col("deg_at_removal") < F.col("before") - 1).alias("out_of_order"), F.count_if(F.col("d") != F.col("deg_at_removal")).alias("wrong_degree"),
+        F.sum("deg_at_removal").alias("sum_of_degrees"), F.min("vertices_before").alias("last_vertices"), F.count_if(F.col("edges_before") != F.col("m") - F.col("gone")).alias("wrong_counts"),
+    ).drop("graph_id")
+
+
+@_query("""SELECT printf('%-20s', name) || ' n~' || lpad(format('{:,}', n), 7, ' ') || '  m~' || lpad(format('{:,}', m), 9, ' ') || '  ' || d AS line
+FROM (VALUES ('ca-GrQc', 5242, 14496, 'General Relativity collaboration'), ('ego-Facebook', 4039, 88234, 'Facebook social circles'), ('wiki-Vote', 7115, 103689, 'Wikipedia voting network')) v(name, n, m, d)""")
+def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog entries as lines of a listing, with grouped and padded numbers."""
+    return graph.catalog_lines(graph.catalog(spark).filter(F.col("name").isin("ca-GrQc", "ego-Facebook", "wiki-Vote"))).select("line")

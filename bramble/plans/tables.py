@@ -26,8 +26,8 @@ def supply(spark: SparkSession, sf_dir: str) -> Graph:
     return _with_ends(rows.filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
 
 
-def trade(spark: SparkSession, sf_dir: str, above: int = 105) -> Graph:
-    """Nations of customers and suppliers with more than `above` deliveries one way."""
+def trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations of customers and suppliers with more deliveries one way than the mean of all such pairs."""
     t = lambda name: _table(spark, sf_dir, name)
     rows = (
         t("lineitem").select("l_orderkey", "l_suppkey")
@@ -35,8 +35,12 @@ def trade(spark: SparkSession, sf_dir: str, above: int = 105) -> Graph:
         .join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .filter("c_nationkey <> s_nationkey")
-        .groupBy("c_nationkey", "s_nationkey").count().filter(F.col("count") > above)
+        .groupBy("c_nationkey", "s_nationkey").count()
     )
+    rows = stored(rows, "deliveries")
+    # As whole numbers, so that no rounding decides.
+    mean = rows.agg(F.sum("count").alias("all"), F.count("*").alias("pairs"))
+    rows = rows.join(F.broadcast(mean)).filter("count * pairs > all")
     return _with_ends(canonical(rows.select(F.lit("trade").alias("graph_id"), F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))))
 
 

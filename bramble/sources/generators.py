@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from bramble.sources.graph import Graph, canonical, from_edge_list
+from bramble.sources.graph import EDGES, Graph, canonical, from_edge_list
 
 Pairs = list[tuple[int, int]]
 
@@ -73,17 +76,36 @@ def preferential_pairs(n: int, m: int, seed: int = 0) -> Pairs:
     return pairs
 
 
+#: Expected edges of a piece of the pairs.
+_PIECE_EDGES = 100_000
+
+
 def random_graph(spark: SparkSession, n: int, p: float, seed: int = 0, graph_id: str = "er") -> Graph:
-    """Each pair is an edge with probability p, by a seeded hash of the pair: the same on any cluster.
-
-    Each vertex makes its partners with larger numbers from a sequence, so rows are spread over tasks.
-    """
-    pairs = spark.range(n).withColumn("dst", F.explode(F.sequence(F.col("id") + 1, F.lit(n - 1).cast("long")))) if n > 1 else spark.range(0).withColumn("dst", F.col("id"))
-    pairs = pairs.filter((F.col("id") < n - 1) & (F.col("dst") > F.col("id")))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "id", "dst"), F.lit(1 << 53)) / float(1 << 53)
-    edges = pairs.filter(draw < p).select(F.lit(graph_id).alias("graph_id"), F.col("id").alias("src"), "dst")
+    """Each pair is an edge with probability p. Pairs are numbered; pieces of them are drawn side by side, each from gap to gap, so the work follows the edges and not the pairs. The same on any cluster."""
+    pairs = n * (n - 1) // 2
+    size = max(1, min(pairs, int(_PIECE_EDGES / p))) if p > 0 else 1
+    pieces = -(-pairs // size) if p > 0 else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for piece in b.column("id").to_pylist():
+                begin, end = piece * size, min(pairs, (piece + 1) * size)
+                rng = np.random.Generator(np.random.Philox(key=[seed, piece]))
+                parts, last = [], begin - 1
+                while last < end:
+                    got = last + np.cumsum(rng.geometric(p, max(16, int((end - last) * p * 1.1))))
+                    parts.append(got[got < end])
+                    last = int(got[-1])
+                at = np.concatenate(parts)
+                # Number at = dst * (dst - 1) / 2 + src; the root is exact or one off.
+                dst = ((1 + np.sqrt(8.0 * at + 1)) / 2).astype(np.int64)
+                dst -= dst * (dst - 1) // 2 > at
+                dst += (dst + 1) * dst // 2 <= at
+                yield pa.RecordBatch.from_arrays([pa.array([graph_id] * len(at), pa.string()), pa.array(at - dst * (dst - 1) // 2), pa.array(dst)], names=["graph_id", "src", "dst"])
+
+    edges = spark.range(pieces).mapInArrow(run, EDGES)
     vertices = spark.range(n).select(F.lit(graph_id).alias("graph_id"), F.col("id").alias("vid"), F.col("id").cast("string").alias("label"))
-    return Graph(vertices, canonical(edges))
+    return Graph(vertices, edges)
 
 
 #: name -> (family, vertices, edges) of the standard test graphs

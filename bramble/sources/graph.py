@@ -6,10 +6,12 @@ import os
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bramble.sources.store import stored
+
 VERTICES = T.StructType([T.StructField("graph_id", T.StringType(), False), T.StructField("vid", T.LongType(), False), T.StructField("label", T.StringType())])
 EDGES = T.StructType([T.StructField("graph_id", T.StringType(), False), T.StructField("src", T.LongType(), False), T.StructField("dst", T.LongType(), False)])
 
@@ -71,15 +73,26 @@ def from_labels(edges: DataFrame, order: str | Column | None = None) -> Graph:
     key = F.lit(0) if order is None else (F.col(order) if isinstance(order, str) else order)
     seen = edges.select("graph_id", F.col("a").alias("label"), key.alias("at")).union(edges.select("graph_id", "b", key))
     labels = seen.groupBy("graph_id", "label").agg(F.min("at").alias("at"))
-    # The numbering per graph comes from one sorted column of labels, not of edges.
-    from pyspark.sql import Window
-
-    vertices = labels.select("graph_id", (F.row_number().over(Window.partitionBy("graph_id").orderBy("at", "label")) - 1).cast("long").alias("vid"), "label")
+    vertices = _numbered(labels)
     a = vertices.select("graph_id", F.col("label").alias("a"), F.col("vid").alias("src"))
     b = vertices.select("graph_id", F.col("label").alias("b"), F.col("vid").alias("dst"))
     return Graph(vertices, canonical(edges.join(a, ["graph_id", "a"]).join(b, ["graph_id", "b"]).select("graph_id", "src", "dst")))
 
 
+def _numbered(labels: DataFrame) -> DataFrame:
+    """graph_id, vid, label: dense numbers by (at, label) within each graph, from sorted ranges and the sizes of those before; no task holds a graph's labels."""
+    spark = labels.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = labels.repartitionByRange(ranges, "graph_id", "at", "label").sortWithinPartitions("graph_id", "at", "label")
+    at = F.monotonically_increasing_id()
+    placed = stored(placed.select("graph_id", "label", F.shiftright(at, 33).alias("part"), at.alias("row")), "labels")
+    # One row for each range and graph in it.
+    sizes = placed.groupBy("graph_id", "part").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("graph_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("graph_id", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("offset"))
+    return placed.join(offsets, ["graph_id", "part"]).select("graph_id", (F.col("row") + F.col("offset")).alias("vid"), "label")
+
+
 _INT = r"^[+-]?[0-9]+(_[0-9]+)*$"
 
 
@@ -113,6 +126,19 @@ def parse_edge_list(lines: DataFrame, graph_id: str = "graph") -> Graph:
     return from_edges(classify_lines(lines).filter("kind = 'edge'").select(F.lit(graph_id).alias("graph_id"), "src", "dst"))
 
 
+def catalog_lines(known: DataFrame) -> DataFrame:
+    """category and line: a catalog entry as a listing shows it."""
+    grouped = lambda c, width: F.lpad(F.format_number(c, 0), width, " ")
+    return known.select("category", F.concat(F.rpad("name", 20, " "), F.lit(" n~"), grouped("n", 7), F.lit("  m~"), grouped("m", 9), F.lit("  "), "description").alias("line"))
+
+
+def described(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """found (name and more) with the catalog's category, n, m and description; a name that is not in it is its own description."""
+    known = catalog(spark).select("name", "category", F.col("n").alias("catalog_n"), F.col("m").alias("catalog_m"), "description")
+    joined = found.join(known, "name", "left")
+    return joined.withColumns({"category": F.coalesce("category", F.lit("other")), "description": F.coalesce("description", "name")})
+
+
 def read_edge_list(spark: SparkSession, path: str, graph_id: str | None = None) -> Graph:
     """A plain or gzip text file of any file system that Spark reads."""
     return parse_edge_list(spark.read.text(path), graph_id or os.path.basename(path))

@@ -1,7 +1,13 @@
 """The training-text pipeline: named stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and reads its docs as they are; all but the last
-return the columns of documents. Rows whose doc_id and text are null go through every stage.
+return the columns of its docs, whatever they are called.
+
+Defined results
+- null text counts as empty; an empty table stays empty; texts may have any length.
+- rows without doc_id are judged by quality and decontamination like others; the two duplicate stages keep them all.
+- rows that repeat doc_id and text are one document, of which the duplicate stages leave one row; of a doc_id with several texts each text is a document of its own.
+- ties: of equal texts the largest doc_id stays, of near copies the smallest.
 """
 
 from __future__ import annotations
@@ -13,14 +19,13 @@ from bramble.llm import bpe, decontam, exact_dedup, minhash, quality
 from bramble.llm.common import bounded_batches, table
 from bramble.llm.queries import quality_model, tokenizer_path
 
-_SCORE = "_quality_score"
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     bounded_batches(spark)
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out=_SCORE).filter(F.col(_SCORE) >= 0.3).select(*docs.columns)
+    score = "_".join(["score", *docs.columns])  # a name that no column has
+    return quality.score(docs, model, out=score).filter(F.col(score) >= 0.3).select(*docs.columns)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,8 +118,8 @@ def test_validation(spark):
     bad = graph.Graph(spark.range(1).selectExpr("'g' graph_id", "id vid", "'' label"), spark.createDataFrame([("g", 0, 5)], graph.EDGES))
     with pytest.raises(ValueError):
         bad.validate()
-    with pytest.raises(ValueError, match="more than one task"):
-        peel.peel_trace(generators.fixture_graphs(spark, ["K5"]), max_edges=3)
+    with pytest.raises(Exception, match="use core_numbers"):
+        peel.peel_trace(generators.fixture_graphs(spark, ["K5"]), max_edges=3).count()
 
 
 def test_sources(spark, tmp_path):
@@ -138,12 +138,51 @@ def test_sources(spark, tmp_path):
     assert sorted((r.src, r.dst) for r in g.edges.collect()) == [(1, 2), (2, 3)]
     assert clean.remove_vertex(g, 2).edges.count() == 0
     assert g.add_edges(spark.createDataFrame([("ca-GrQc.txt.gz", 3, 1), ("ca-GrQc.txt.gz", 2, 1)], graph.EDGES)).edges.count() == 4
+    shown = graph.described(spark, spark.createDataFrame([("wiki-Vote",), ("mine",)], "name string"))
+    assert {(r.name, r.category, r.catalog_n) for r in shown.collect()} == {("wiki-Vote", "Communication Networks", 7115), ("mine", "other", None)}
+
+
+def test_labels_are_numbered_in_order(spark):
+    """Dense numbers by label within each graph, over many ranges."""
+    rows = [(f"g{i % 3}", f"{(i * 7919) % 1000:04d}", f"x{i % 40:02d}") for i in range(1000)]
+    g = graph.from_labels(spark.createDataFrame(rows, "graph_id string, a string, b string"))
+    want = {}
+    for k, a, b in rows:
+        want.setdefault(k, set()).update((a, b))
+    got = {(r.graph_id, r.vid): r.label for r in g.vertices.collect()}
+    assert got == {(k, i): label for k, labels in want.items() for i, label in enumerate(sorted(labels))}
+
+
+def test_command_line(spark, tmp_path, capsys):
     cli.main(["list"], spark)
+    (tmp_path / "my_graph.txt").write_text("# a triangle with a tail\n1 2\n2 3\n3 1\n3 4\n4 4\n")
+    cli.main(["stats", "--graph", f"{tmp_path}/my_graph.txt", "--file"], spark)
+    said = capsys.readouterr().out
+    assert "ca-GrQc" in said and "density" in said and "avg_clustering" in said
+    cli.main(["report", "--graph", f"{tmp_path}/my_graph.txt", "--file", "--max-k", "2", "--out", str(tmp_path)], spark)
+    said = capsys.readouterr().out
+    assert "alpha_k" in said and "✓" in said
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith("parquet")]
 
 
 def test_random_graphs(spark):
     a, b = generators.random_graph(spark, 60, 0.2, seed=3), generators.random_graph(spark, 60, 0.2, seed=3)
     assert a.edges.exceptAll(b.edges).isEmpty() and 250 < a.edges.count() < 460
+    assert generators.random_graph(spark, 30, 1.0).validate().edges.count() == 435
+    assert [generators.random_graph(spark, *x).edges.count() for x in ((30, 0.0), (1, 0.5), (0, 0.5))] == [0, 0, 0]
+
+
+def test_random_graph_in_pieces(spark, monkeypatch):
+    """Many pieces: simple edges, about as many as p gives, in every part of the pairs."""
+    monkeypatch.setattr(generators, "_PIECE_EDGES", 50)
+    g = generators.random_graph(spark, 400, 0.05, seed=2).validate()
+    at = np.array([r.dst * (r.dst - 1) // 2 + r.src for r in g.edges.collect()])
+    pairs = 400 * 399 // 2
+    assert abs(len(at) - pairs * 0.05) < 5 * (pairs * 0.05 * 0.95) ** 0.5
+    assert np.histogram(at, 20, (0, pairs))[0].min() > 0.6 * pairs * 0.05 / 20
+
+
+def test_preferential_graphs(spark):
     pairs = generators.preferential_pairs(50, 3, seed=1)
     assert len(pairs) == len(set(pairs)) == 3 + 46 * 3
     with pytest.raises(ValueError):
@@ -219,3 +258,23 @@ def test_report_and_comparison(spark):
     assert api.compare_peels(g)["equal"]
     with pytest.raises(ValueError):
         api.load(spark, "ether")
+
+
+def test_components_of_chains_in_few_rounds(spark, monkeypatch):
+    """A chain in id order, one in reverse, a star, repeated edges and loops; by rounds alone and with the last task."""
+    from bramble.operators import connect
+
+    chain = [(i, i + 1) for i in range(10_000)]
+    more = [(20_001 - i, 20_000 - i) for i in range(300)] + [(30_000, 30_001 + i) for i in range(500)] * 2 + [(5, 5), (40_000, 40_000), (50_000, None)]
+    edges = spark.createDataFrame([("g", a, b) for a, b in chain + more] + [("h", 1, 2), ("h", 10_001, 3)], "graph_id string, a long, b long")
+    rounds = []
+    monkeypatch.setattr(connect, "_round", lambda *args, f=connect._round: rounds.append(1) or f(*args))
+    want = {("g", i): 0 for i in range(10_001)} | {("g", 19_701 + i): 19_701 for i in range(301)} | {("g", 30_000 + i): 30_000 for i in range(501)}
+    want |= {("h", 1): 1, ("h", 2): 1, ("h", 3): 3, ("h", 10_001): 3}
+    for most in (0, 400_000):
+        monkeypatch.setattr(connect, "LOCAL_EDGES", most)
+        rounds.clear()
+        got = connect.connected(edges, ["graph_id"])
+        assert {(r.graph_id, r.id): r.component for r in got.collect()} == want
+        assert len(rounds) <= 20 and bool(rounds) == (most == 0)
+    assert connect.connected(edges.limit(0).drop("graph_id")).count() == 0
