@@ -10,9 +10,9 @@
    grouping them by their bytes decides what is equal.
 4. Every row gets the group of its text.
 
-A fingerprint or copy that a third of all rows share is sent once per source,
-pre-aggregated to one row per map task, and met again by a join whose large
-partitions Spark splits.
+A fingerprint or copy that a third of all rows share is sent once per source and
+pre-aggregated to one row per map task. The groups are stored before they meet the rows
+again: so that join has an exchange on either side, and Spark splits its large partitions.
 
 Defined results
 - null text counts as empty, and all empty texts are equal.
@@ -22,6 +22,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +37,18 @@ from bramble.llm.common import materialize, partitions
 _BITS = 48
 #: A source is a partition, or each so many rows of a large one.
 SOURCE_ROWS = 1_000_000
+#: Rows whose fingerprints one owner holds.
+OWNER_ROWS = 4_000_000
 #: Up to so many suspect fingerprints (8 bytes each) are broadcast to filter the texts; more are joined by a shuffle.
 BROADCAST_SUSPECTS = 1_000_000
 
 
-def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
-    """Golomb-Rice code of sorted distinct values: the remainder's width, and all remainders followed by all unary quotients."""
+def golomb_encode(values: np.ndarray, least: int = 0) -> tuple[int, bytes]:
+    """Golomb-Rice code of sorted distinct values from ``least`` on: the remainder's width, and all remainders followed by all unary quotients."""
     if not len(values):
         return 0, b""
-    gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(0))
-    k = max(0, int(np.log2(max(1.0, float(values[-1]) / len(values)))))
+    gaps = np.diff(values.astype(np.uint64), prepend=np.uint64(least))
+    k = max(0, int(np.log2(max(1.0, float(values[-1] - np.uint64(least)) / len(values)))))
     quotients = (gaps >> np.uint64(k)).astype(np.int64)
     low = ((gaps[:, None] >> np.arange(k, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
     unary = np.ones(int(quotients.sum()) + len(gaps), dtype=np.uint8)
@@ -53,13 +56,18 @@ def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
     return k, np.packbits(np.concatenate([low, unary])).tobytes()
 
 
-def golomb_decode(n: int, k: int, code: bytes) -> np.ndarray:
+def golomb_decode(n: int, k: int, code: bytes, least: int = 0) -> np.ndarray:
     bits = np.unpackbits(np.frombuffer(code, dtype=np.uint8))
     low = bits[: n * k].reshape(n, k).astype(np.uint64)
     gaps = (low << np.arange(k, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) if k else np.zeros(n, dtype=np.uint64)
     ends = np.flatnonzero(bits[n * k :] == 0)[:n]
     quotients = np.diff(ends, prepend=-1) - 1
-    return np.cumsum(gaps + (quotients.astype(np.uint64) << np.uint64(k)), dtype=np.uint64)
+    return np.cumsum(gaps + (quotients.astype(np.uint64) << np.uint64(k)), dtype=np.uint64) + np.uint64(least)
+
+
+def least_of(owner: int, owners: int) -> int:
+    """The least fingerprint of an owner; all have equal ranges."""
+    return -(-(owner << _BITS) // owners)
 
 
 _SENT = "src long, owner int, n int, k int, code binary, doc_id {id}, fp long, sha binary"
@@ -73,10 +81,10 @@ def _send(owners: int, id_type: pa.DataType):
         return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(size, t)) for c, t in zip(_SCHEMA, types, strict=True)], names=list(_SCHEMA))
 
     def codes(src: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        values = np.unique(np.concatenate(parts))
+        values = np.unique(np.concatenate(parts)).astype(np.uint64)
         owner = (values.astype(np.uint64) * np.uint64(owners) >> np.uint64(_BITS)).astype(np.int32)  # owners < 2**16
         at = np.flatnonzero(np.diff(owner, prepend=-1))
-        rows = [(int(owner[a]), len(v := values[a:b]), *golomb_encode(v)) for a, b in zip(at, [*at[1:], len(values)], strict=True)]
+        rows = [(int(owner[a]), len(v := values[a:b]), *golomb_encode(v, least_of(int(owner[a]), owners))) for a, b in zip(at, [*at[1:], len(values)], strict=True)]
         o, n, k, code = zip(*rows, strict=True)
         return batch(len(rows), src=pa.array([src] * len(rows), pa.int64()), owner=pa.array(o, pa.int32()), n=pa.array(n, pa.int32()), k=pa.array(k, pa.int32()), code=pa.array(code, pa.binary()))
 
@@ -98,9 +106,10 @@ def _send(owners: int, id_type: pa.DataType):
     return run
 
 
-def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+def _answer(pdf: pd.DataFrame, owners: int) -> pd.DataFrame:
     """At an owner: for each source a bitmap over what it sent, set where another source sent the same."""
-    parts = [golomb_decode(n, k, c) for n, k, c in zip(pdf["n"], pdf["k"], pdf["code"], strict=True)]
+    least = least_of(int(pdf["owner"].iloc[0]), owners)
+    parts = [golomb_decode(n, k, c, least) for n, k, c in zip(pdf["n"], pdf["k"], pdf["code"], strict=True)]
     flat = np.concatenate(parts)
     _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     shared = counts[inverse] > 1
@@ -121,7 +130,7 @@ def _suspects(rows: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
 def duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    owners = min(partitions(spark), (1 << (64 - _BITS)) - 1)
+    owners = min(max(partitions(spark), math.ceil(docs.count() / OWNER_ROWS)), (1 << (64 - _BITS)) - 1)
     body = F.coalesce(F.col(text), F.lit(""))
     fp = F.shiftrightunsigned(F.xxhash64(body), 64 - _BITS)
     keyed = docs.select("doc_id", fp.alias("fp"), F.unhex(F.sha2(body, 256)).alias("sha"))
@@ -130,7 +139,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
     sent = materialize(keyed.mapInArrow(_send(owners, to_arrow_type(id_type)), _SENT.format(id=id_type.simpleString())), "fingerprints")
     rows, codes = sent.filter("owner IS NULL"), sent.filter("owner IS NOT NULL")
-    maps = codes.select("src", "owner", "n", "k", "code").groupBy("owner").applyInPandas(_answer, "src long, owner int, n int, bitmap binary")
+    maps = codes.select("src", "owner", "n", "k", "code").groupBy("owner").applyInPandas(lambda rows: _answer(rows, owners), "src long, owner int, n int, bitmap binary")
     suspects = (
         rows.select("src", "fp")
         .groupBy("src")
@@ -154,7 +163,7 @@ def duplicate_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     return (
         rows.select("doc_id", "sha")
-        .join(verified, "sha", "left")
+        .join(materialize(verified.select("sha", "keep_id", "group_size"), "copies"), "sha", "left")
         .select(
             "doc_id",
             F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
