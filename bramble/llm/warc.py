@@ -118,7 +118,8 @@ def write(pages: DataFrame, payload: str = "html", directory: str | None = None)
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long"), "url", body.alias("payload"), F.sha2(body, 256).alias("same"))
     repeated = rows.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("same", "first")
-    rows = rows.join(repeated, "same", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # Stored, so that the join has an exchange on either side and Spark can split it at a payload that many pages have.
+    rows = rows.join(materialize(repeated, "repeated"), "same", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     return materialize(rows.mapInArrow(_write(directory or fresh_dir(spark, "warc")), INDEX), "warc-index")
 
 
