@@ -4,7 +4,8 @@ A conversation is the rows of one conv_id ordered by turn. A finite-state
 machine over the roles checks the order of turns; the template gives each turn
 a head and a tail around its escaped text, and each piece is a segment with a
 loss flag. Escaping percent-encodes the characters that control strings are
-made of, so no text can forge a turn mark and it can be undone exactly.
+made of, so no text can forge a turn mark and it can be undone exactly. A role of the
+input that reads like a display name gets a mark that no escaped text contains.
 
 Defined results
 - null text counts as empty, null role as the empty role; unknown roles are formatted under their own name, carry no loss and make the conversation invalid.
@@ -43,6 +44,17 @@ class Template:
     final: tuple[str, ...] = ("answered",)
     #: '%' must be first here and is undone last.
     escapes: tuple[tuple[str, str], ...] = (("%", "%25"), ("#", "%23"), ("<", "%3C"), (":", "%3A"))
+    #: Before a role that is some other role's display name.
+    as_is: str = "%="
+
+    def __post_init__(self) -> None:
+        if len(set(self.names.values())) < len(self.names):
+            raise ValueError("two roles have one display name")
+
+    def shown(self, name: str) -> str:
+        for a, b in self.escapes:
+            name = name.replace(a, b)
+        return name
 
 
 DEFAULT = Template()
@@ -60,10 +72,18 @@ def unescape(c: Column, template: Template = DEFAULT) -> Column:
     return c
 
 
-def _mapped(c: Column, pairs: dict[str, str]) -> Column:
-    out = c
-    for a, b in pairs.items():
-        out = F.when(c == a, F.lit(b)).otherwise(out)
+def _role_name(role: Column, template: Template) -> Column:
+    """The escaped display name, from which _role reads the role back."""
+    out = F.when(role.isin(*template.names.values()), F.concat(F.lit(template.as_is), escape(role, template))).otherwise(escape(role, template))
+    for a, b in template.names.items():
+        out = F.when(role == a, F.lit(template.shown(b))).otherwise(out)
+    return out
+
+
+def _role(name: Column, template: Template) -> Column:
+    out = unescape(F.when(F.startswith(name, F.lit(template.as_is)), F.substr(name, F.lit(len(template.as_is) + 1))).otherwise(name), template)
+    for a, b in template.names.items():
+        out = F.when(name == template.shown(b), F.lit(a)).otherwise(out)
     return out
 
 
@@ -84,7 +104,7 @@ def format_chats(df: DataFrame, template: Template = DEFAULT) -> DataFrame:
     turns = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def pieces(t: Column) -> Column:
-        name = escape(_mapped(t["role"], template.names), template)
+        name = _role_name(t["role"], template)
         return F.array(
             F.struct(F.concat(F.lit(template.head), name, F.lit(template.head_end)).alias("text"), F.lit(False).alias("loss")),
             F.struct(escape(t["text"], template).alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
@@ -101,12 +121,11 @@ def format_chats(df: DataFrame, template: Template = DEFAULT) -> DataFrame:
 def parse_chats(df: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """Reads format_chats output back: adds turns array<struct<role, text>> from the formatted text and loss_text from the segments."""
     marks = F.split(F.col("formatted"), _quoted(template.tail))
-    back = {b: a for a, b in template.names.items()}
 
     def turn(piece: Column) -> Column:
         body = F.substr(piece, F.lit(len(template.head) + 1))
         end = F.instr(body, template.head_end)
-        role = _mapped(unescape(F.substring(body, F.lit(1), end - 1), template), back)
+        role = _role(F.substring(body, F.lit(1), end - 1), template)
         return F.struct(role.alias("role"), unescape(F.substr(body, end + len(template.head_end)), template).alias("text"))
 
     full = F.slice(marks, F.lit(1), F.size(marks) - 1)  # after the last mark there is nothing
