@@ -10,6 +10,7 @@ Defined results
 - rules with a null or empty host fit nothing; a null path counts as empty.
 - precedence: longest host + path, then the longer host, then block before allow.
 - repeated rows are judged alike and all returned; an empty table gives an empty result.
+- a host and path that many rows share are judged once; the rows meet the verdicts in a join that Spark can split.
 - other columns of the input are kept, unless they are called as one of the new columns: those are replaced.
 """
 
@@ -17,10 +18,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm.common import ascii_lower
+from bramble.llm.common import ascii_lower, materialize
 
 #: Rule tables up to this many rows are broadcast; larger ones are shuffled.
 BROADCAST_RULES = 100_000
@@ -38,9 +39,10 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({"host": ascii_lower(raw), "path": F.regexp_extract(tail, r"^[^?#]*", 0)})
 
 
-def rules_frame(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(host, path, verdict) rows as a DataFrame."""
-    return spark.createDataFrame(list(rules), "host string, path string, verdict string")
+def rules_frame(spark: SparkSession, rules: Sequence[tuple[str | None, str | None, str]]) -> DataFrame:
+    """(host, path, verdict) rows as a DataFrame, from literals."""
+    kind = "array<struct<host string, path string, verdict string>>"
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*map(F.lit, r)) for r in rules]).cast(kind)))
 
 
 def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -93,6 +95,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str =
         .agg(F.max(rank).alias("best"))
         .select("host", "path", "best.rule", "best.verdict")
     )
-    out = parts.join(best, ["host", "path"], "left")
+    # Stored, so that the join has an exchange on either side: rows without a host, or of one page, may be very many.
+    out = parts.join(materialize(best, "judged"), ["host", "path"], "left")
     kept = [c for c in df.columns if c not in _NEW or c == url]
     return out.select(*kept, *[c for c in ("host", "path") if c not in kept], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
