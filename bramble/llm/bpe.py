@@ -12,6 +12,7 @@ driver and sent with the tasks; its size does not depend on the data.
 Defined results
 - null text counts as empty; an empty text has no ids and decodes to an empty text; null ids decode to null.
 - strings of added tokens within a text become their ids, as the library does by default.
+- a vocabulary file with options that are not handled here (a normalizer, other pre-tokenizers, dropout, flags of added tokens) raises.
 - ids outside the vocabulary raise; bytes that are no UTF-8 decode to U+FFFD.
 - repeated rows are encoded alike; other columns are kept, one called as a new one is replaced; an empty table gives an empty result.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -46,6 +48,29 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def _first_characters() -> re.Pattern:
+    """PATTERN for texts of the first 256 characters: their classes as plain sets, which the standard library matches faster."""
+    letters, digits, spaces = ("".join(re.escape(chr(c)) for c in range(256) if regex.match(kind, chr(c))) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{digits}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{digits}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]"))
+
+
+#: What a vocabulary file may say besides its tokens: part, option, values that mean what is done here.
+_HANDLED = (
+    ("normalizer", None, (None,)), ("pre_tokenizer", "type", ("ByteLevel",)), ("pre_tokenizer", "add_prefix_space", (False,)), ("pre_tokenizer", "use_regex", (True, None)), ("decoder", "type", ("ByteLevel",)),
+    ("model", "type", ("BPE", None)), ("model", "dropout", (None, 0.0)), ("model", "continuing_subword_prefix", (None, "")), ("model", "end_of_word_suffix", (None, "")), ("model", "byte_fallback", (False, None)), ("model", "ignore_merges", (False, None)),
+)
+
+
+def _check(data: dict) -> None:
+    for part, option, values in _HANDLED:
+        held = data.get(part)
+        if (held if option is None else (held or {}).get(option)) not in values:
+            raise ValueError(f"{part} {option or ''} of this vocabulary is not handled: {held}")
+    for t in data.get("added_tokens", []):
+        if any(t.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"flags of added token {t['content']!r} are not handled")
+
+
 class _Pieces(dict):
     """Pre-token -> number; unknown ones get the next number and are noted in `fresh`."""
 
@@ -70,6 +95,7 @@ class Codec:
 
     def __init__(self, spec: str):
         data = json.loads(spec)
+        _check(data)
         model = data["model"]
         vocab: dict[str, int] = model["vocab"]
         symbols = byte_symbols()
@@ -96,7 +122,7 @@ class Codec:
                 self.bytes_of[i] = bytes(byte_of[c] for c in token)
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.first_pattern = regex.compile(PATTERN), _first_characters()
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._forget()
 
@@ -174,14 +200,18 @@ class Codec:
         counts[lengths > 0] = np.add.reduceat(alive, (ends - lengths)[lengths > 0], dtype=np.int64)
         return symbol[:-1][alive].astype(np.int32), counts
 
-    def new_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.merge([p.encode() for p in pieces])
+    def _pieces(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern.findall(text)
+        return self.first_pattern.findall(text)
 
     def _split(self, text: str) -> list[str]:
         if self.split_added is None or not any(a in text for a in self.added):
-            return self.pattern.findall(text)
+            return self._pieces(text)
         parts = self.split_added.split(text)
-        return list(chain.from_iterable([p] if p in self.added else self.pattern.findall(p) for p in parts))
+        return list(chain.from_iterable([p] if p in self.added else self._pieces(p) for p in parts))
 
     def encode_all(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the borders between texts."""
@@ -197,7 +227,7 @@ class Codec:
             parts = self._split(t)
             used.append(np.fromiter(map(number, parts), dtype=np.int64, count=len(parts)))
         fresh, self.kept.fresh = self.kept.fresh, []
-        self._keep(fresh, *self.new_pieces(fresh))
+        self._keep(fresh, *self.merge([p.encode() for p in fresh]))
         flat = np.concatenate(used) if used else np.empty(0, np.int64)
         count = self.count[flat]
         ends = np.append(0, np.cumsum(count))
@@ -213,36 +243,20 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class LibraryCodec(Codec):
-    """The same, where the tokenizers library encodes the new pre-tokens."""
-
-    def __init__(self, spec: str):
-        super().__init__(spec)
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_padding()
-        self.library.no_truncation()
-
-    def new_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(lists), dtype=np.int32), np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-
-
 def _distinct(at: np.ndarray) -> np.ndarray:
     at = np.sort(at)
     return at[np.append(True, at[1:] != at[:-1])]
 
 
-_codecs: dict[tuple[type, str], Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def codec(spec: str, kind: type[Codec] = Codec) -> Codec:
+def codec(spec: str) -> Codec:
     """One codec by worker process and vocabulary."""
-    if (kind, spec) not in _codecs:
+    if spec not in _codecs:
         _codecs.clear()
-        _codecs[kind, spec] = kind(spec)
-    return _codecs[kind, spec]
+        _codecs[spec] = Codec(spec)
+    return _codecs[spec]
 
 
 def read_spec(path: str) -> str:
