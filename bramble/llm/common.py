@@ -2,62 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_RUN = uuid.uuid4().hex[:12]
-_made: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set, else one of our own.
-
-    The fallback is only for sessions on one machine (tests, notebooks).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "bramble-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/bramble-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(_clean, spark)
-    _made.add(path)
-    return path
+from bramble.sources.store import drop_dir, dropped, fresh_dir
+from bramble.sources.store import stored as materialize
 
-
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Remove a folder made by fresh_dir."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _made.discard(path)
-
-
-def _clean(spark: SparkSession) -> None:
-    for path in list(_made):
-        try:
-            drop_dir(spark, path)
-        except Exception:  # the session may be gone already; the folder is then left to its owner
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ascii_lower", "bounded_batches", "drop_dir", "dropped", "fresh_dir", "materialize", "partitions", "table"]
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(c: Column) -> Column:

@@ -19,8 +19,8 @@ splits; no group is gathered.
 
 Defined results
 - null text counts as empty; without words the set is empty, n_shingles 0 and the document is linked with nothing; with fewer words than a shingle has, the whole sequence is the one shingle.
-- rows without doc_id are not linked: component_id null, kept true. Rows that repeat doc_id and text get the same result.
-- ties: the smallest doc_id of a component stays; an empty table gives an empty result; other columns do not matter.
+- rows without doc_id are not linked: component_id null, kept true. Rows that repeat doc_id and text get the same result; of a doc_id with several texts each text is a document of its own.
+- ties: the smallest doc_id of a component stays; drop_near_duplicates leaves one row of it. An empty table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -36,13 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.common import materialize
+from bramble.llm.common import dropped, materialize
+from bramble.operators.connect import connected
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MISS = 1e-8
 _MAX_BINS = 512
 _KEPT_WORDS = 400_000
-_SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>"
+_SIGNATURE = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"
 
 
 @dataclass(frozen=True)
@@ -144,23 +145,28 @@ def signatures(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
+                    b.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_digest(s) for s in sets], pa.binary()),
                     _lists([none if s is None else band_hashes(s, p) for s in sigs], np.int64),
                 ],
-                names=["doc_id", "n_shingles", "digest", "bands"],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, _SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, _SIGNATURE)
+
+
+def _digest(hashes: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
 
 
 def shingle_sets(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, p.words).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(sets, np.int64)], names=["doc_id", "hashes"])
+            sets = [shingles(t, p.words) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_digest(s) for s in sets], pa.binary()), _lists([s.view(np.int64) for s in sets], np.int64)], names=["doc_id", "digest", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, hashes array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, digest binary, hashes array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
@@ -173,28 +179,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return linked.filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * p.percent).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component) for all ids in links; the component is its smallest id. Contracts the links until none is left."""
-    edges = materialize(links.select("a", "b").filter("a <> b"), "edges")
-    found: DataFrame | None = None
-    while not edges.isEmpty():
-        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        step = materialize(ends.groupBy("id").agg(F.least("id", F.min("other")).alias("to")), "step")
-        jump = step.select(F.col("id").alias("to"), F.col("to").alias("to2"))
-        step = materialize(step.join(jump, "to").select("id", F.col("to2").alias("to")), "jump")
-        if found is None:
-            found = step.select("id", F.col("to").alias("component"))
-        else:
-            moved = step.select(F.col("id").alias("component"), "to")
-            found = materialize(found.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "components")
-        to_a, to_b = step.select(F.col("id").alias("a"), F.col("to").alias("a2")), step.select(F.col("id").alias("b"), F.col("to").alias("b2"))
-        edges = edges.join(to_a, "a").join(to_b, "b").filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        edges = materialize(edges, "edges")
-    if found is None:
-        return links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
-    return found
-
-
 def _hubs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bucket, hub) of all buckets, and (hub, top): the hub of all buckets that a hub is in.
 
@@ -256,47 +240,97 @@ def _across(rows: DataFrame, p: Params) -> DataFrame:
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, p: Params, text: str = "text") -> DataFrame:
+def _classes(signed: DataFrame) -> tuple[DataFrame, bool]:
+    """class_digest, class_id (its smallest doc_id), id, n, bands; and whether id is another number for some, where texts of one doc_id make several classes."""
+    by_set = signed.groupBy(F.col("digest").alias("class_digest")).agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    by_set = materialize(by_set, "classes")
+    shared = materialize(by_set.groupBy("class_id").agg(F.min("class_digest").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("class_id", "lead"), "shared-ids")
+    if shared.isEmpty():
+        return by_set.withColumn("id", F.col("class_id")), False
+    other = by_set.join(shared, "class_id", "left").withColumn("id", F.when(F.col("lead") != F.col("class_digest"), F.xxhash64("class_digest")).otherwise(F.col("class_id")))
+    return materialize(other.drop("lead"), "classes"), True
+
+
+def links(docs: DataFrame, classes: DataFrame, renamed: bool, p: Params, text: str = "text") -> DataFrame:
     """Confirmed links between classes, enough to connect what is connected."""
-    heads = signed.join(classes, [signed["digest"] == classes["class_digest"], signed["doc_id"] == classes["class_id"]])
-    rows = heads.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    rows = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    # Stored, so that the join below has an exchange on either side and Spark can split it at a large bucket.
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    rows = materialize(rows.join(sizes.select("bucket", "size"), "bucket"), "buckets")
-    inside = rows.select(F.col("id").alias("doc_id")).distinct()
+    sizes = materialize(sizes.select("bucket", "size"), "bucket-sizes")
+    rows = materialize(rows.join(sizes, "bucket"), "buckets")
+    dropped(sizes)
+    inside = rows.select("id").distinct()
     once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(shingle_sets(once.join(inside.hint("shuffle_hash"), "doc_id", "left_semi"), p), "sets")
-
-    hubs, tops = _hubs(rows)
+    if renamed:
+        inside = materialize(classes.join(inside, "id", "left_semi").select("id", "class_id", "class_digest"), "inside")
+        sets = shingle_sets(once.join(inside.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), p)
+        sets = sets.join(inside, [sets["doc_id"] == inside["class_id"], sets["digest"] == inside["class_digest"]]).select(F.col("id").alias("doc_id"), "hashes")
+    else:
+        sets = shingle_sets(once.join(inside.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), p).select("doc_id", "hashes")
+    sets = materialize(sets, "sets")
+
+    central, tops = _hubs(rows)
     # A hub that links to a more central one leaves its bucket to that: fewer hubs for a member of many buckets.
     moved = materialize(_confirm(tops.select(F.col("top.id").alias("a"), F.col("id").alias("b")), sets, p), "moved")
-    moved = tops.join(moved.select(F.col("b").alias("id")), "id", "left_semi").select(F.col("id").alias("from"), "top")
-    hubs = hubs.join(moved, F.col("hub.id") == F.col("from"), "left").select("bucket", F.coalesce("top", "hub").alias("hub"))
+    to = tops.join(moved.select(F.col("b").alias("id")), "id", "left_semi").select(F.col("id").alias("from"), "top")
+    hubs = central.join(to, F.col("hub.id") == F.col("from"), "left").select("bucket", F.coalesce("top", "hub").alias("hub"))
     others = rows.join(hubs, "bucket").select("bucket", "id", "n", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")).filter("id <> hub")
     others = materialize(others, "members")
+    dropped(rows, central, tops, moved)
     may_link = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * p.percent
     star = others.filter(may_link).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     found = materialize(_confirm(star, sets, p), "links")
-    comps = components(found).select("id", "component")
+    comps = connected(found).select("id", "component")
     placed = others.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     cells = placed.join(split.select("bucket"), "bucket", "left_semi").select("hub", "id", "n", "hub_n", "component").distinct()
-    rows = materialize(_prefixes(cells, sets, p), "prefixes")
-    return materialize(found.union(_confirm(_across(rows, p), sets, p)), "links")
+    prefixes = materialize(_prefixes(cells, sets, p), "prefixes")
+    dropped(others)
+    every = materialize(found.union(_confirm(_across(prefixes, p), sets, p)), "links")
+    dropped(prefixes, found, sets)
+    return every
 
 
-def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+def _placed(docs: DataFrame, p: Params, text: str) -> DataFrame:
+    """One row per row of docs: doc_id, text_hash, n_shingles, component (the smallest doc_id; the row's own if it is linked to none, null without doc_id), group.
+
+    group tells components apart, which may have the same smallest doc_id where that has several texts; null without words or doc_id.
+    """
     signed = materialize(signatures(docs, p, text), "signatures")
     usable = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = materialize(usable.groupBy(F.col("digest").alias("class_digest")).agg(F.min("doc_id").alias("class_id")), "classes")
-    comps = components(links(docs, usable, classes, p, text))
-    of_class = classes.join(comps, classes["class_id"] == comps["id"], "left").select("class_digest", F.coalesce("component", "class_id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("class_digest"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes, renamed = _classes(usable)
+    comps = connected(links(docs, classes, renamed, p, text))
+    of_class = classes.join(comps, "id", "left").select("class_digest", "class_id", F.coalesce("component", "id").alias("group"))
+    if renamed:  # the smallest id of a component need not be its smallest doc_id
+        of_class = materialize(of_class, "class-components")
+        of_class = of_class.join(materialize(of_class.groupBy("group").agg(F.min("class_id").alias("component")), "least"), "group").select("class_digest", "component", "group")
+    else:
+        of_class = of_class.select("class_digest", F.col("group").alias("component"), "group")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("class_digest"), "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"), F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"))
+
+
+def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    placed = _placed(docs, p, text)
+    return placed.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
-    """The rows of docs that stay: one document of each component, with all their columns."""
-    gone = near_duplicates(docs, p, text).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with all their columns: one row of each component, and every row without doc_id or without words."""
+    placed = materialize(_placed(docs, p, text).filter("group IS NOT NULL").select("doc_id", "text_hash", "group"), "placed")
+    row = F.struct("doc_id", "text_hash")
+    leads = materialize(placed.groupBy("group").agg(F.min(row).alias("lead"), F.count("*").alias("rows")).filter("rows > 1"), "leads")
+    members = placed.join(leads, "group")
+    gone = members.filter(row != F.col("lead")).select("doc_id", "text_hash").distinct()
+    repeated = materialize(members.filter(row == F.col("lead")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash"), "repeated")
+    if repeated.isEmpty():
+        return _without(docs, gone, text, "left_anti")
+    one = _without(docs, repeated, text, "left_semi").withColumn("_body", F.coalesce(F.col(text), F.lit(""))).dropDuplicates(["doc_id", "_body"])
+    return _without(docs, gone.union(repeated), text, "left_anti").unionByName(one.select(*docs.columns))
+
+
+def _without(docs: DataFrame, rows: DataFrame, text: str, how: str) -> DataFrame:
+    rows = rows.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
+    same = (docs["doc_id"].cast("long") == rows["_doc_id"]) & (F.xxhash64(docs[text]) == rows["_text_hash"])
+    return docs.join(rows.hint("shuffle_hash"), same, how).select(*docs.columns)
