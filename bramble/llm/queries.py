@@ -74,8 +74,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[ 	-
-]+'), lambda x: x <> '') AS t FROM documents),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(t, i, i + 2), ' ') AS s
        FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 1, 2))) AS i FROM w WHERE len(t) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
@@ -101,7 +100,8 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Formats every conversation, reads it back and returns digests of turns and loss text."""
-    extra = spark.createDataFrame([(-7, 0, "user", TRICKY_CHAT), (-7, 1, "assistant", TRICKY_CHAT)], "conv_id bigint, turn bigint, role string, text string")
+    turns = [F.struct(F.lit(-7).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(TRICKY_CHAT).alias("text")) for i, role in enumerate(("user", "assistant"))]
+    extra = spark.range(1).select(F.inline(F.array(*turns)))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = chat.parse_chats(chat.format_chats(rows))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -124,7 +124,9 @@ s AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS flat,
          coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
-         string_agg('### ' || CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE role END || ': '
+         string_agg('### ' || CASE WHEN role = 'system' THEN 'System' WHEN role = 'user' THEN 'User' WHEN role = 'assistant' THEN 'Assistant'
+           WHEN role IN ('System', 'User', 'Assistant') THEN '%=' || role
+           ELSE replace(replace(replace(replace(role, '%', '%25'), '#', '%23'), '<', '%3C'), ':', '%3A') END || ': '
            || replace(replace(replace(replace(text, '%', '%25'), '#', '%23'), '<', '%3C'), ':', '%3A') || ' </turn>' || chr(10), '') AS formatted,
          string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text) AS roles
   FROM c GROUP BY conv_id)
@@ -194,18 +196,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("best_match").cast("bigint").alias("best_match"))
 
 
+# Of 12 tokens with two substitutions at most, one of three parts of four is whole: no masks are needed to find every window.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark),
 dw AS (SELECT doc_id, s, list_slice(t, s, s + 11) AS w FROM (SELECT doc_id, t, unnest(range(1, len(t) - 10)) AS s FROM d WHERE len(t) >= 12)),
 bw AS (SELECT item_id, list_slice(t, s, s + 11) AS w FROM (SELECT item_id, t, unnest(range(1, len(t) - 10)) AS s FROM b WHERE len(t) >= 12)),
-dk AS (SELECT *, 1 AS m, list_slice(w, 5, 12) AS k FROM dw UNION ALL SELECT *, 2, list_concat(list_slice(w, 1, 4), list_slice(w, 9, 12)) FROM dw
-       UNION ALL SELECT *, 3, list_slice(w, 1, 8) FROM dw),
-bk AS (SELECT *, 1 AS m, list_slice(w, 5, 12) AS k FROM bw UNION ALL SELECT *, 2, list_concat(list_slice(w, 1, 4), list_slice(w, 9, 12)) FROM bw
-       UNION ALL SELECT *, 3, list_slice(w, 1, 8) FROM bw),
-hit AS (SELECT doc_id, item_id, s, len(list_filter(range(1, 13), lambda i: dk.w[i] = bk.w[i])) AS match
-        FROM dk JOIN bk ON dk.m = bk.m AND dk.k = bk.k)
-SELECT doc_id, item_id, count(DISTINCT s) AS n_windows, max(match) AS best_match FROM hit WHERE match >= 10 GROUP BY doc_id, item_id
+dp AS (SELECT *, unnest([1, 5, 9]) AS part FROM dw), bp AS (SELECT *, unnest([1, 5, 9]) AS part FROM bw),
+hit AS (SELECT DISTINCT doc_id, item_id, s, len(list_filter(range(1, 13), lambda i: dp.w[i] = bp.w[i])) AS match
+        FROM dp JOIN bp ON dp.part = bp.part AND list_slice(dp.w, dp.part, dp.part + 3) = list_slice(bp.w, bp.part, bp.part + 3)),
+brief AS (SELECT item_id, t FROM b WHERE len(t) BETWEEN 5 AND 11),
+whole AS (SELECT doc_id, s, list_slice(t, s, s + l - 1) AS w FROM (SELECT doc_id, t, l, unnest(range(1, len(t) - l + 2)) AS s FROM d JOIN (SELECT DISTINCT len(t) AS l FROM brief) ON len(d.t) >= l)),
+every AS (SELECT doc_id, item_id, s, match FROM hit WHERE match >= 10 UNION ALL SELECT doc_id, item_id, s, len(w) FROM whole JOIN brief ON w = t)
+SELECT doc_id, item_id, count(DISTINCT s) AS n_windows, max(match) AS best_match FROM every GROUP BY doc_id, item_id
 """
 
 

@@ -114,6 +114,57 @@ def test_exact_duplicates_are_dropped_by_row(spark):
     assert sorted((r.doc_id, r.text) for r in exact_dedup.drop_duplicates(docs(spark, unique)).collect()) == [(1, "a"), (5, "c"), (9, "b")]
 
 
+def test_golomb_codes_are_as_short_for_any_number_of_owners():
+    v = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 200_000).astype(np.uint64))
+    bits = []
+    for owners in (8, 2000):
+        owner = (v * np.uint64(owners) >> np.uint64(48)).astype(np.int64)
+        total = 0
+        for o in range(owners):
+            part = v[owner == o]
+            least = exact_dedup.least_of(o, owners)
+            k, code = exact_dedup.golomb_encode(part, least)
+            assert (exact_dedup.golomb_decode(len(part), k, code, least) == part).all()
+            total += 8 * len(code)
+        bits.append(total / len(v))
+    assert abs(bits[0] - bits[1]) < 1 and bits[0] < np.log2((1 << 48) / len(v)) + 2.5
+
+
+SPLIT = {
+    "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+@pytest.fixture
+def split_joins(spark):
+    """As on a cluster, where these sizes are larger."""
+    old = {k: spark.conf.get(k, None) for k in SPLIT}
+    for k, v in SPLIT.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def largest_share(df):
+    """Of the rows of all tasks, in the largest; every column is read, as it counts for the sizes by which Spark splits."""
+    rows = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max(F.xxhash64(*df.columns))).collect()]
+    return max(rows) / sum(rows)
+
+
+def test_hot_keys_are_split(spark, split_joins):
+    """Half of all rows have one text, payload or url: no task gets them all."""
+    n = 40_000
+    half = spark.range(n).repartition(20).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    assert largest_share(exact_dedup.duplicate_groups(half)) < 0.3
+    pages = half.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.org/"), F.when(F.col("doc_id") % 2 == 0, "x").otherwise(F.col("doc_id").cast("string"))).alias("url"), F.col("text").alias("html"))
+    assert largest_share(url_filter.judge_urls(pages, url_filter.rules_frame(spark, [("org", "/", "block")]))) < 0.3
+    assert largest_share(url_filter.judge_urls(pages.withColumn("url", F.when(F.col("page_id") % 2 == 0, F.col("url"))), url_filter.rules_frame(spark, [("org", "/", "block")]))) < 0.4
+    archives = warc.write(pages).groupBy("path").count().collect()
+    assert max(r["count"] for r in archives) < 0.3 * n
+
+
 def test_exact_duplicates_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BROADCAST_SUSPECTS", -1)
     monkeypatch.setattr(exact_dedup, "SOURCE_ROWS", 3)
@@ -153,11 +204,23 @@ def test_decode(spark):
     assert got == {1: "Hello world", 2: "", 3: None, 4: "<|endoftext|>", 5: tok.decode([163], skip_special_tokens=False)}
 
 
-def test_library_codec_agrees():
-    spec = bpe.read_spec(PATH)
-    text = ["the quick brown foxes' unbelievable antidisestablishmentarianism 1234567", "aaaaaaaaaa bababababa"]
-    a, b = bpe.Codec(spec).encode_all(text), bpe.LibraryCodec(spec).encode_all(text)
-    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+def test_both_patterns_split_alike():
+    """All pairs of the first 256 characters, and random strings of them."""
+    rng = random.Random(2)
+    c = bpe.Codec(bpe.read_spec(PATH))
+    texts = ["".join(chr(a) + chr(b) for b in range(256)) for a in range(256)] + ["".join(chr(rng.choice([32, 32, 39, 115, 108, rng.randrange(256)])) for _ in range(60)) for _ in range(3000)]
+    for t in texts:
+        assert c.first_pattern.findall(t) == c.pattern.findall(t)
+
+
+def test_unknown_options_raise():
+    import json
+
+    spec = json.loads(bpe.read_spec(PATH))
+    token = spec["added_tokens"][0]
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"added_tokens": [token | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="not handled"):
+            bpe.Codec(json.dumps(spec | change))
 
 
 def test_token_files(spark):
@@ -175,6 +238,16 @@ def test_token_files(spark):
     assert token_files.read(token_files.write(docs(spark, [(None, "b"), (None, "a")]), PATH, end_id=2)).count() == 2
 
 
+def test_token_files_roll(spark):
+    """Small files: the same rows, in order, from many files; extreme and null ids."""
+    rows = [(i, f"text {i} " * (i % 9)) for i in range(60)] + [(-(2**63), "least"), (2**63 - 1, "most"), (None, "none")]
+    want = sorted(map(tuple, token_files.read(token_files.write(docs(spark, rows), PATH, end_id=2)).collect()), key=str)
+    index = token_files.write(docs(spark, rows), PATH, end_id=2, frame_bytes=64, file_docs=4)
+    assert index.count() > 15 and {r.n_docs for r in index.collect()} <= {1, 2, 3, 4}
+    got = sorted(map(tuple, token_files.read(index).collect()), key=str)
+    assert got == want and [r[0] for r in sorted(got, key=lambda r: r[1])][:2] == [None, -(2**63)]
+
+
 def test_only_wanted_frames_are_read(tmp_path):
     from bramble.llm import files
 
@@ -255,6 +328,20 @@ def test_near_duplicates_around_the_threshold(spark):
         assert 3 < len({r[1] for r in got.values()}) < 250
 
 
+def test_near_duplicates_are_dropped_by_row(spark):
+    """A doc_id with two texts loses only the copy; rows that repeat leave one; one row of each component stays."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text), (5, "something else altogether here"), (9, text + " more"), (7, text.upper()), (3, "quite another one of its own"), (3, "quite another one of its own"), (None, text), (4, None), (4, "")]
+    rows += [(6, "something else altogether here"), (6, text + " and more")]
+    left = minhash.drop_near_duplicates(docs(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(3, rows[4][1]), (4, ""), (4, None), (5, "something else altogether here"), (5, text), (None, text)], key=str)
+    assert left.columns == docs(spark, rows).columns
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(spark, rows)).filter("doc_id IS NOT NULL").collect()}
+    assert got == {(5, 36, 5), (5, 1, 5), (9, 37, 5), (7, 36, 5), (3, 2, 3), (4, 0, 4), (6, 1, 5), (6, 38, 5)}
+    unique = [(5, text), (5, "something else altogether here"), (9, text)]
+    assert sorted((r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs(spark, unique)).collect()) == sorted(unique[:2])
+
+
 def test_near_duplicates_edges(spark):
     got = sorted(map(tuple, minhash.near_duplicates(docs(spark, ODD)).collect()), key=str)
     assert [r for r in got if r[0] is None] == [(None, 0, None, True), (None, 1, None, True)]
@@ -270,12 +357,6 @@ def test_densification_is_even():
     assert len(counts) == len(set(h.tolist())) and max(counts.values()) < 464 * 0.25
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (5, 5)]
-    got = {r.id: r.component for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
-
-
 # --- language model
 def test_scores_against_plain_sums(spark):
     rng = random.Random(0)
@@ -317,7 +398,7 @@ def plain_tree(texts, depth):
         n, shorter = sum(after.values()), follow[s[1:]] if s[1:] else base
         below = sum(shorter.values())
         gain = sum(c * (np.log(c / n) - np.log(shorter[w] / below)) for w, c in after.items())
-        if n >= 2 and gain >= suffix_tree.PENALTY * len(after):
+        if n >= suffix_tree.least_count(len(s)) and gain >= suffix_tree.PENALTY * len(after):
             kept.add(s)
 
     def p(before, word):
@@ -425,6 +506,30 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_any_role_comes_back(spark):
+    roles = ["user", "User", "assistant", "Assistant", "System", "system", "%=User", "%User", "### User", ": </turn>\n", "%3A", "<", "", "ASSISTANT"]
+    rows = [(i, t, r, f"text of {r}") for i in range(2) for t, r in enumerate(roles if i else reversed(roles))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.parse_chats(chat.format_chats(df)).collect():
+        assert [(t.role, t.text) for t in r.turns] == [(x, f"text of {x}") for x in (roles if r.conv_id else roles[::-1])]
+        assert r.loss_text == "text of assistant"
+    with pytest.raises(ValueError):
+        chat.Template(names={"a": "X", "b": "X"})
+
+
+def test_roles_against_sql(spark, tmp_path):
+    """The SQL of op6 on roles that are display names or hold control strings."""
+    rows = [(i, t, r, "a: <b> # %") for i in range(20) for t, r in enumerate(["User", "user", "Assistant", "assistant", "System", "o#:<%"][: 1 + i % 6])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(queries.OP6_SQL)
+    got = queries.op6_chat_format(spark, str(tmp_path))
+    assert sorted(map(str, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+
+
 # --- URL rules
 def test_urls_against_plain_rules(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "", "block"), ("a.com", "/x", "allow"), ("a.com", "/x", "block"), ("", "/", "block"), (None, "/", "block"), ("b.org", None, "block")]
@@ -476,6 +581,85 @@ def test_quality_edges(spark):
     assert quality.score(docs(spark, []), model).count() == 0
 
 
+def plain_additive(x, y, rounds, rate, leaves, n_pairs, pair_rounds):
+    """The model of fit_matrix by loops over rows, bins and all splits; returns the probability of a row."""
+    rows, d = len(x), x.shape[1]
+    share = sum(y) / rows
+    start = np.log(share / (1 - share))
+    z = [start] * rows
+    place = lambda v, e: sum(v >= b for b in e)
+    prob = lambda t: 1 / (1 + np.exp(-t))
+    borders = lambda f, n: sorted(set(np.quantile(x[:, f], np.linspace(0, 1, n + 1)[1:-1]).tolist()))
+    fine, coarse = [borders(f, 32) for f in range(d)], [borders(f, 8) for f in range(d)]
+    bins = [[place(v, fine[f]) for v in x[:, f]] for f in range(d)]
+    cells = [[place(v, coarse[f]) for v in x[:, f]] for f in range(d)]
+    tables = [[0.0] * (len(e) + 1) for e in fine]
+
+    def sums(inside):
+        g = sum(y[r] - prob(z[r]) for r in range(rows) if inside(r))
+        h = sum(prob(z[r]) * (1 - prob(z[r])) for r in range(rows) if inside(r))
+        return g, h
+
+    worth = lambda s: s[0] ** 2 / (s[1] + 1)
+    leaf = lambda s: s[0] / (s[1] + 1)
+    for _ in range(rounds):
+        for f in range(d):
+            by_bin = [sums(lambda r, b=b: bins[f][r] == b) for b in range(len(tables[f]))]  # noqa: B023
+            total = lambda a, b: (sum(s[0] for s in by_bin[a:b]), sum(s[1] for s in by_bin[a:b]))  # noqa: B023, E731
+            parts = [(0, len(by_bin))]
+            while len(parts) < leaves:
+                options = [(worth(total(a, c)) + worth(total(c, b)) - worth(total(a, b)), -a, -c, (a, b), c) for a, b in parts for c in range(a + 1, b)]
+                if not options or (best := max(options))[0] <= 1e-9:
+                    break
+                (a, b), c = best[3:]
+                parts = sorted([p for p in parts if p != (a, b)] + [(a, c), (c, b)])
+            for a, b in parts:
+                v = rate * leaf(total(a, b))
+                for k in range(a, b):
+                    tables[f][k] += v
+                for r in range(rows):
+                    if a <= bins[f][r] < b:
+                        z[r] += v
+
+    def cross(i, j):
+        every, best = sums(lambda r: True), (0.0, None, None, None)
+        for a in range(1, len(coarse[i]) + 1):
+            for b in range(1, len(coarse[j]) + 1):
+                four = {(p, q): sums(lambda r, p=p, q=q: (cells[i][r] >= a) == p and (cells[j][r] >= b) == q) for p in (False, True) for q in (False, True)}  # noqa: B023
+                gain = sum(map(worth, four.values())) - worth(every)
+                if gain > best[0] + 1e-12:
+                    best = (gain, a, b, {k: leaf(s) for k, s in four.items()})
+        return best
+
+    chosen = sorted((-cross(i, j)[0], i, j) for i in range(d) for j in range(i + 1, d))[:n_pairs]
+    crossed = {(i, j): [] for g, i, j in chosen if g < 0}
+    for _ in range(pair_rounds):
+        for i, j in crossed:
+            gain, a, b, four = cross(i, j)
+            if four:
+                crossed[i, j].append((a, b, four))
+                for r in range(rows):
+                    z[r] += rate * four[cells[i][r] >= a, cells[j][r] >= b]
+
+    def score(row):
+        t = start + sum(tables[f][place(row[f], fine[f])] for f in range(d))
+        for (i, j), steps in crossed.items():
+            t += sum(rate * four[place(row[i], coarse[i]) >= a, place(row[j], coarse[j]) >= b] for a, b, four in steps)
+        return prob(t)
+
+    return score
+
+
+def test_classifier_against_a_plain_model():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((70, 3)), 2)
+    y = ((x[:, 0] + 0.3 * rng.random(70) > 0.6) ^ (x[:, 1] > 0.7) & (x[:, 2] > 0.4)).astype(float)
+    args = {"rounds": 4, "rate": 0.3, "leaves": 3, "n_pairs": 2, "pair_rounds": 3}
+    model, plain = quality.fit_matrix(x, y, **args), plain_additive(x, y, **args)
+    new = np.vstack([x, rng.random((30, 3)) * 1.4 - 0.2])
+    assert model.pairs and np.abs(model.score(new) - np.array([plain(r) for r in new])).max() < 1e-9
+
+
 def test_pairwise_tables_catch_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, quality.N_FEATURES))
@@ -533,6 +717,16 @@ def test_leaks_against_plain_windows(spark):
     assert len(want) > 105 and {(r.doc_id, r.item_id, r.n_windows, r.best_match) for r in got} == want
 
 
+def test_short_items(spark):
+    """Items of 5 to 11 tokens hit where all their tokens stand together, and no shorter ones."""
+    items = {1: "one two three four", 2: "one two three four five", 3: "a b c d e f g h i j k", 4: "a b c d e f g h i j k l", 5: "p q r s t u v"}
+    rows = [(1, "one two three four five"), (2, "x ONE, two three four FIVE! y"), (3, "one two three four 5"), (4, "a b c d e f g h i j k"), (5, "z a b c d e f g h i j k l"), (6, "p q r s t u w"), (7, "p q"), (8, None)]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_windows, r.best_match) for r in decontam.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 2, 1, 5), (2, 2, 1, 5), (4, 3, 1, 11), (5, 3, 1, 11), (5, 4, 1, 12)}
+    assert {r.doc_id for r in decontam.drop_contaminated(docs(spark, rows), bench).collect()} == {3, 6, 7, 8}
+
+
 def test_leaks_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", -1)
     text = " ".join(f"t{i}" for i in range(20))
