@@ -42,6 +42,17 @@ def correlation(dk: DataFrame, alpha: DataFrame, dk_variant: str = "dk_degenerac
     return alpha_lines(dk, alpha, dk_variant, "alpha_exact").join(v.alpha_interval(dk, dk_variant), "graph_id")
 
 
+# Where an information box stands, as shares of width and height.
+BOX_POSITIONS = {"upper left": (0.02, 0.98), "upper right": (0.98, 0.98), "lower left": (0.02, 0.02), "lower right": (0.98, 0.02)}
+
+
+def info_box(summary: DataFrame, position: str = "upper left") -> DataFrame:
+    """The rows of verify.alpha_summary with the place of their box: x, y, horizontal and vertical alignment. An unknown position is the upper left."""
+    x, y = BOX_POSITIONS.get(position, BOX_POSITIONS["upper left"])
+    sides = {"x": F.lit(x), "y": F.lit(y), "align": F.lit("left" if "left" in position else "right"), "valign": F.lit("top" if "upper" in position else "bottom")}
+    return summary.withColumns(sides)
+
+
 def four_panels(dk: DataFrame, alpha: DataFrame, checked: DataFrame) -> dict[str, DataFrame]:
     """The tables of the four-panel chart."""
     lines = alpha_lines(dk, alpha, "dk_degeneracy", "alpha_exact")

@@ -19,7 +19,7 @@ from bramble.sources.graph import Graph
 from bramble.sources.store import dropped, stored
 
 TRACE = "graph_id string, step long, vid long, vertices_before long, edges_before long, deg_at_removal long"
-#: A task needs up to 0.1 GB a million edges, its input included.
+#: A task needs about 0.1 GB a million edges, its input included (417 MB measured for 4 million).
 MAX_EDGES = 10_000_000
 _SPAN = 100_000
 

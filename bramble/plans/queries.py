@@ -611,3 +611,12 @@ FROM (VALUES ('ca-GrQc', 5242, 14496, 'General Relativity collaboration'), ('ego
 def catalog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog entries as lines of a listing, with grouped and padded numbers."""
     return graph.catalog_lines(graph.catalog(spark).filter(F.col("name").isin("ca-GrQc", "ego-Facebook", "wiki-Vote"))).select("line")
+
+
+@_query(f"""{_REGION_ALL}, su AS (SELECT g, min(alpha_exact) AS lo, max(alpha_exact) AS hi FROM ax GROUP BY g)
+SELECT g AS graph_id, lo AS min_alpha, hi AS max_alpha, hi - lo AS delta, CASE WHEN lo = hi THEN 'CONSTANT' ELSE 'VARYING' END AS trend, x, y, h AS align, w AS valign
+FROM su, (VALUES (0.02::DOUBLE, 0.98::DOUBLE, 'left', 'top'), (0.98::DOUBLE, 0.02::DOUBLE, 'right', 'bottom')) p(x, y, h, w)""")
+def chart_info_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The box beside the configured chart, in two places."""
+    summary = stored(verify.alpha_summary(exact.alpha_exact(tables.region_star(spark, sf_dir))), "summary")
+    return charts.info_box(summary).union(charts.info_box(summary, "lower right"))
