@@ -24,6 +24,7 @@ class OutputSettings:
     show_plot: bool = False
 
 
+# The names and defaults of existing settings files. Style settings are accepted, so that such files can be read; chart tables have no style.
 @dataclass(frozen=True)
 class PlotSettings:
     figure_size: tuple[int, int] = (10, 7)
