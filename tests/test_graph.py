@@ -1,7 +1,7 @@
 """Golden values, properties against plain Python, and invalid input."""
 
 import random
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pytest
@@ -222,6 +222,36 @@ def test_peel_order_is_the_plain_one(n, p, seed):
     assert list(zip(order.tolist(), degree.tolist(), strict=True)) == plain_peel(n, edges)
 
 
+def test_packed_neighbours_come_in_any_pieces():
+    """Three graphs with the same numbers, an isolated vertex and a hub, in batches that cut vertices apart."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    graphs = {"a": [e for e in combinations(range(40), 2) if rng.random() < 0.2], "b": [(0, v) for v in range(1, 41)], "c": []}
+    rows = sorted(((v, g, None) for g in graphs for v in range(42)), key=str) + [(u, g, v) for g, edges in graphs.items() for a, b in edges for u, v in ((a, b), (b, a))]
+    rows.sort(key=lambda r: r[0])
+    parts = [rows[i : i + 17] for i in range(0, len(rows), 17)]
+    batches = [pa.RecordBatch.from_pydict({"graph_id": pa.array([r[1] for r in p]), "u": pa.array([r[0] for r in p], pa.int64()), "v": pa.array([r[2] for r in p], pa.int64())}) for p in parts]
+    packed = pa.Table.from_batches(list(peel._pack(iter(batches))))
+    for g, edges in graphs.items():
+        own = packed.filter(pa.compute.equal(packed["graph_id"], g)).to_batches(max_chunksize=3)
+        got = pa.Table.from_batches(list(peel._peel(None)((pa.scalar(g),), iter(own)))).to_pydict()
+        order = plain_peel(42, edges)
+        assert list(zip(got["vid"], got["deg_at_removal"], strict=True)) == order
+        gone = [0, *accumulate(d for _, d in order)]
+        assert got["edges_before"] == [len(edges) - x for x in gone[:-1]] and got["vertices_before"] == list(range(42, 0, -1)) and got["step"] == list(range(1, 43))
+
+
+def test_no_limit_on_edges(spark):
+    """10.1 million edges among few vertices: the whole peel by default."""
+    n = 4500
+    src, dst = (spark.range(0, n, 1, 4).withColumnRenamed("id", c) for c in ("src", "dst"))
+    edges = src.crossJoin(dst).filter("src < dst").selectExpr("'K' graph_id", "src", "dst")
+    trace = peel.peel_trace(graph.Graph(spark.range(n).selectExpr("'K' graph_id", "id vid", "'' label"), edges))
+    whole = f"vid = step - 1 AND deg_at_removal = {n} - step AND vertices_before = {n} - step + 1 AND edges_before = ({n} - step + 1) * ({n} - step) div 2"
+    assert trace.selectExpr("count(*)", f"count_if({whole})", "count(DISTINCT step)").first()[:] == (n, n, n)
+
+
 def test_alpha_removal_is_the_density_before(run):
     a, r = by_k(run.dk, "dk_density"), by_k(run.alpha, "alpha_removal")
     for name, values in r.items():
