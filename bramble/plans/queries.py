@@ -591,8 +591,9 @@ def peel_check_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.supply(spark, sf_dir)
     trace = stored(peel.peel_trace(g), "trace")
     at = trace.select("graph_id", "vid", "step")
-    later = g.symmetric().join(at.select("graph_id", F.col("vid").alias("u"), F.col("step").alias("su")), ["graph_id", "u"]).join(at.select("graph_id", F.col("vid").alias("v"), F.col("step").alias("sv")), ["graph_id", "v"])
-    left = later.filter("su < sv").groupBy("graph_id", F.col("u").alias("vid")).agg(F.count("*").alias("d"))
+    both = g.edges.join(at.select("graph_id", F.col("vid").alias("src"), F.col("step").alias("su")), ["graph_id", "src"]).join(at.select("graph_id", F.col("vid").alias("dst"), F.col("step").alias("sv")), ["graph_id", "dst"])
+    # An edge counts for the end that goes first.
+    left = both.filter("su <> sv").groupBy("graph_id", F.when(F.col("su") < F.col("sv"), F.col("src")).otherwise(F.col("dst")).alias("vid")).agg(F.count("*").alias("d"))
     # When vertex v goes at step s with degree d, each later u has at least d neighbours from step s on: its least slack is over the steps before its own.
     checked = trace.join(left, ["graph_id", "vid"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
     by_step = Window.partitionBy("graph_id").orderBy("step")

@@ -54,3 +54,12 @@ def test_supply_against_a_plain_peel(spark):
         worst = max(worst, d)
     got = {r.k: (r.dk_density, r.dk_tail_degree, r.dk_degeneracy) for r in queries.dk_supply(spark, SF).collect()}
     assert got == {k: (dense[k], tail[k], degenerate[k]) for k in range(n)}
+
+
+def test_peel_check_of_more_than_ten_million_edges(spark, tmp_path):
+    """Every one of 3,200 suppliers delivered each of 3,188 parts: 10.2 million edges."""
+    suppliers, parts = 3200, 3188
+    rows = spark.range(suppliers * parts).selectExpr(f"id % {suppliers} AS l_suppkey", f"id div {suppliers} AS l_partkey")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    m = suppliers * parts
+    assert queries.peel_check_supply(spark, str(tmp_path)).collect() == [(suppliers + parts, m, 0, 0, m, 1, 0)]
